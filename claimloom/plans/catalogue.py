@@ -6,11 +6,12 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from claimloom.plans import general
+from claimloom.plans import claims, general, texts
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {**general.QUERIES}
-SQL: dict[str, str] = {**general.SQL}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {**general.QUERIES, **claims.QUERIES, **texts.QUERIES}
+SQL: dict[str, str] = {**general.SQL, **claims.SQL, **texts.SQL}
 
 
 def flagship(spark: SparkSession, folder: str) -> DataFrame:
-    return general.QUERIES["p1_found"](spark, folder)
+    """Claims framed, paired by what they are about, and every pair ruled on."""
+    return claims.rulings_by_rule(spark, folder)
