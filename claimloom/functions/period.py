@@ -44,8 +44,10 @@ def _year(digits: Column) -> Column:
 
 
 def _day(year: Column, month: Column | int, day: Column | int) -> Column:
+    """A date, null where the year is missing (a failed parse would be caught, but dearly) or there is no such day."""
     pad = lambda x: F.lpad(x.cast("string"), 2, "0") if isinstance(x, Column) else F.lit(f"{x:02d}")
-    return F.try_to_date(F.concat_ws("-", F.lpad(year.cast("string"), 4, "0"), pad(month), pad(day)), "yyyy-MM-dd")
+    text = F.concat_ws("-", F.lpad(year.cast("string"), 4, "0"), pad(month), pad(day))
+    return F.when(F.length(year.cast("string")) > 0, F.try_to_date(text, "yyyy-MM-dd"))
 
 
 def _month_number(name: Column) -> Column:

@@ -29,6 +29,9 @@ def frame_claims(claim: DataFrame, witness: DataFrame) -> DataFrame:
     about = witness.select("witness_id", F.col("title"), vintage_date(F.col("vintage_raw")).alias("vintage"), "publisher", "default_currency")
     # Witnesses are documents: far fewer than claims, but not bounded, so the planner decides how to join them.
     rows = claim.dropDuplicates(["claim_id"]).join(about, "witness_id", "left")
+    # Periods repeat a few wordings over and over: each is read once, and the small result is joined back.
+    worded = claim.select("period_raw").where("period_raw is not null").distinct()
+    rows = rows.join(worded.select("period_raw", parse_period(F.col("period_raw")).alias("period")), "period_raw", "left")
     split = rows.withColumn("m", split_qualifiers(F.col("measure_raw"))).withColumn("q", parse_quantity(F.col("value_raw"), F.col("unit_raw"), F.col("default_currency")))
     quals = F.concat(F.coalesce("qualifiers", F.array().cast("array<string>")), F.coalesce("m.qualifiers", F.array().cast("array<string>")))
     named = split.select(
@@ -46,7 +49,7 @@ def frame_claims(claim: DataFrame, witness: DataFrame) -> DataFrame:
         F.when(F.col("q").isNull(), F.nullif(F.trim("value_raw"), F.lit(""))).alias("value_text"),
         F.col("q.dimension").alias("unit_dim"),
         F.col("q.scale").alias("unit_scale"),
-        parse_period(F.col("period_raw")).alias("period"),
+        "period",
         basis_tokens(F.col("basis_raw"), quals).alias("basis"),
         F.nullif(canonical_form(resolved_name(F.col("entity_raw"), F.col("publisher"))), F.lit("")).alias("entity_key"),
         F.nullif(F.array_join(content_key(F.col("m.name")), " "), F.lit("")).alias("measure_key"),

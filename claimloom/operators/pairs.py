@@ -6,6 +6,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from claimloom.session import keep
+
 #: The columns a rule looks at; everything else stays out of the join.
 SIDE = ["claim_id", "witness_id", "title", "vintage", "claim_type", "measure_raw", "value", "value_text", "unit_dim", "unit_raw", "value_raw", "period", "period_raw", "basis", "confidence"]
 
@@ -43,7 +45,8 @@ def capped_lemma_pairs(framed: DataFrame, most: int = 400) -> DataFrame:
     all later claims come from one witness, and their pairs are found by
     witness and period.
     """
-    rows = _sides(framed)
+    # Kept, for it is read several times and costs all the parsing.
+    rows = keep(_sides(framed), "sides")
     by_lemma = W.partitionBy("lemma_key").orderBy("id")
     openers = rows.withColumn("nth", F.row_number().over(by_lemma)).where(F.col("nth") <= most + 1).drop("nth")
     a, b = _two(openers, rows)

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from claimloom.functions.labels import short_label
 from claimloom.operators.frames import neat
+from claimloom.session import keep
 
 # Rules in the order in which a report looks for an example that context explains.
 EXPLAINED = ["VINTAGE_REVISION", "RESTATEMENT", "BASIS_MISMATCH", "ADJUSTMENT_MISMATCH", "PERIOD_NESTED", "DEFINITION_DRIFT", "PERIOD_DISJOINT"]
@@ -153,6 +154,7 @@ def fold_readings(readings: DataFrame) -> DataFrame:
     first keeps the role.  A reading without a value is never folded.
     """
     key = ["lemma_key", "witness_id", "starts", "ends", "value", "unit_dim"]
+    readings = keep(readings.select(*key, "claim_id", "vintage", "basis"), "readings")
     lone = readings.where("value is null").select(*key, "claim_id", "basis", F.lit(1).alias("repeats"))
     # Of one key only the basis and the order differ; equal neighbours are counted before they are gathered.
     rows = readings.where("value is not null").groupBy(*key, "basis").agg(F.min(F.struct(F.col("vintage").isNotNull(), "vintage", "claim_id")).alias("at"), F.count("*").alias("n"))
