@@ -7,7 +7,10 @@ from pyspark.sql import functions as F
 
 
 def scan_files(spark: SparkSession, folder: str, pattern: str = "*") -> DataFrame:
-    """``path, filename, size, sha256, content`` of the files below ``folder`` whose names match; files are read where the rows are used."""
+    """``path, filename, size, sha256, content`` of the files below ``folder`` whose names match.
+
+    Files are read where the rows are used; empty ones are passed over.
+    """
     read = spark.read.format("binaryFile").option("pathGlobFilter", pattern).option("recursiveFileLookup", "true").load(folder)
     return read.select("path", F.element_at(F.split("path", "/"), -1).alias("filename"), F.col("length").alias("size"), F.sha2("content", 256).alias("sha256"), "content")
 
