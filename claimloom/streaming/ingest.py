@@ -10,6 +10,7 @@ from claimloom.operators.cascade import adjudicate
 from claimloom.operators.frames import frame_claims
 from claimloom.operators.pairs import capped_lemma_pairs
 from claimloom.operators.store import insert_or_ignore
+from claimloom.session import forget, keep
 from claimloom.sources.sinks import append, read_or_empty
 from claimloom.sources.tables import table
 
@@ -23,15 +24,16 @@ def add_claims(batch: DataFrame, witness: DataFrame, out: str) -> None:
     pairs that have a verdict are left alone.
     """
     spark = batch.sparkSession
-    framed = frame_claims(batch, witness).select("*")
+    framed = frame_claims(batch, witness)
     stored = read_or_empty(spark, out, "framed", framed._jdf.schema().toDDL())
-    fresh = insert_or_ignore(stored, framed, ["claim_id"], [F.col("claim_id")]).persist()
+    # A kept table: a cached one would be computed again, and be empty, once its rows are appended below.
+    fresh = keep(insert_or_ignore(stored, framed, ["claim_id"], [F.col("claim_id")]), "fresh")
     append(fresh, out, "framed")
     touched = fresh.where("lemma_key is not null").select("lemma_key").distinct()
     both = read_or_empty(spark, out, "framed", framed._jdf.schema().toDDL()).join(touched, "lemma_key", "left_semi")
     ruled = adjudicate(capped_lemma_pairs(both))
     append(insert_or_ignore(read_or_empty(spark, out, "verdict", VERDICT), ruled, ["claim_a", "claim_b"], [F.col("rule_id")]), out, "verdict")
-    fresh.unpersist()
+    forget(fresh)
 
 
 def claim_stream(spark: SparkSession, folder: str, schema: str) -> DataFrame:
