@@ -61,3 +61,11 @@ def forget(*frames: DataFrame) -> None:
             spark = df.sparkSession
             where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
             where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """The rows spread evenly over all cores: for costly Python work on rows that look few by their bytes.
+
+    Adaptive execution would leave such rows in one or two partitions.
+    """
+    return df.repartition(2 * df.sparkSession.sparkContext.defaultParallelism)
