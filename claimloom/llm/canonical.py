@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from claimloom.functions.text import edit_distance, fold, is_abbreviation
+from claimloom.session import spread
 
 #: Entries of the canonical list beyond which the operator refuses to broadcast it.
 MOST_LABELS = 20_000
@@ -321,7 +322,7 @@ def map_values(values: DataFrame, column: str, canonical: DataFrame, key: str, l
             yield pd.DataFrame({"value": batch["value"], "key": [matcher.resolve(v) for v in batch["value"]]})
 
     distinct = values.select(F.col(column).alias("value")).where("value is not null and value != ''").distinct()
-    return distinct.mapInPandas(run, "value string, key long").toDF(column, key)
+    return spread(distinct).mapInPandas(run, "value string, key long").toDF(column, key)
 
 
 def claim_measures(claim: DataFrame, measure: DataFrame) -> DataFrame:
