@@ -192,7 +192,7 @@ class Scorer:
                 owner.append(i)
         out = np.full(len(texts), -np.inf)  # one score a text
         if owner:
-            s = np.add.reduceat(self.sums[rows], np.r_[0, ends[:-1]])
+            s = np.add.reduceat(self.sums[rows], np.array([0, *ends[:-1]]))
             score = self.machine.bias + s[:, 0] + 0.5 * ((s[:, 2:] ** 2).sum(1) - s[:, 1])
             np.maximum.at(out, owner, score)
         return out
