@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from claimloom.operators import anchor, reports, segment, store
@@ -220,10 +219,3 @@ def decoded_props(spark: SparkSession, folder: str) -> DataFrame:
 def numbered_rows(spark: SparkSession, folder: str) -> DataFrame:
     n = store.number_rows(table(spark, folder, "measure").select("measure_id"), ["measure_id"])
     return n.agg(F.count("*").alias("n"), F.countDistinct("id").alias("ids"), F.min("id").alias("least"), F.max("id").alias("most"))
-
-
-@query("select event_type, count(*) as n, round(avg(gap), 4) as mean_gap from (select event_type, value - lag(value) over (partition by user_id order by ts, event_id) as gap from events) group by 1")
-def event_gaps(spark: SparkSession, folder: str) -> DataFrame:
-    """How far consecutive readings of a user lie apart, by kind of event."""
-    before = F.lag("value").over(W.partitionBy("user_id").orderBy("ts", "event_id"))
-    return table(spark, folder, "events").withColumn("gap", F.col("value") - before).groupBy("event_type").agg(F.count("*").alias("n"), F.round(F.avg("gap"), 4).alias("mean_gap"))
