@@ -203,3 +203,17 @@ def export_top(verdict: DataFrame, claim: DataFrame, most: int = EXPORTED) -> Da
     both = with_claims(top, claim, ["witness_id", "entity_raw", "measure_raw", "value_raw", "unit_raw", "period_raw", "quote"])
     reading = lambda s: F.struct(*[F.col(f"{s}_{c}").alias(c) for c in ("witness_id", "entity_raw", "measure_raw", "value_raw", "unit_raw", "period_raw", "quote")])
     return both.select("verdict_id", verdict_kind(F.col("verdict")).alias("verdict"), "rule_id", "explanation", "divergence", "severity", F.array(reading("a"), reading("b")).alias("readings"))
+
+
+def claim_details(claim: DataFrame, witness: DataFrame, page: DataFrame) -> DataFrame:
+    """Every claim once, with its witness and the page it stands on, where it has these."""
+    about = witness.select("witness_id", "title", "vintage_date")
+    where = page.dropDuplicates(["page_id"]).select("witness_id", "page_no", "page_id", "printed_label", "is_sparse")
+    return claim.dropDuplicates(["claim_id"]).join(about, "witness_id", "left").join(where, ["witness_id", "page_no"], "left")
+
+
+def quarantine_report(quarantine: DataFrame, witness: DataFrame, most: int = QUARANTINED) -> tuple[DataFrame, DataFrame]:
+    """How many rejections have each reason, and the latest of them with their witness."""
+    reasons = quarantine.groupBy("reason").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "reason")
+    listed = quarantine.join(witness.select("witness_id", short_label(F.coalesce("title", "filename")).alias("label")), "witness_id").orderBy(F.desc("quote_id")).limit(most)
+    return reasons, listed

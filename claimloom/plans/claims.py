@@ -431,6 +431,15 @@ def escalation_queue(spark: SparkSession, folder: str) -> DataFrame:
     return reports.escalation_queue(table(spark, folder, "verdict")).select("verdict_id")
 
 
+@query(
+    f"""with {S.CLAIM}, p as (select distinct on (page_id) * from page)
+    select claim_id, title, vintage_date, page_id, printed_label from c left join witness using (witness_id) left join p on p.witness_id = c.witness_id and p.page_no = c.page_no"""
+)
+def claim_details(spark: SparkSession, folder: str) -> DataFrame:
+    d = reports.claim_details(table(spark, folder, "claim"), table(spark, folder, "witness"), table(spark, folder, "page"))
+    return d.select("claim_id", "title", "vintage_date", "page_id", "printed_label")
+
+
 _COUNTED = ["witness", "page", "passage", "measure", "claim", "verdict"]
 
 

@@ -103,6 +103,29 @@ def front_matter_text(pages: DataFrame) -> DataFrame:
     return head.join(tail, "witness_id", "full")
 
 
+class Adviser(Protocol):
+    """A second opinion on a verdict: a dict with ``relationship, reason_code, explanation, sufficient_context``."""
+
+    def note(self, verdict: str, explanation: str) -> dict: ...
+
+
+def note_verdicts(queue: DataFrame, adviser: Adviser) -> DataFrame:
+    """``verdict_id, note, agrees`` for verdicts ``verdict_id, verdict, explanation``; a verdict is never changed by its note, and a failure gives no row."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            rows = []
+            for key, verdict, explanation in zip(batch["verdict_id"], batch["verdict"], batch["explanation"]):
+                try:
+                    note = adviser.note(verdict, explanation)
+                    rows.append((key, json.dumps(note, sort_keys=True), note.get("relationship") == verdict.strip().lower()))
+                except Exception:  # noqa: BLE001
+                    continue
+            yield pd.DataFrame(rows, columns=["verdict_id", "note", "agrees"])
+
+    return queue.select("verdict_id", "verdict", "explanation").mapInPandas(run, "verdict_id long, note string, agrees boolean")
+
+
 class RateLimiter:
     """At most ``per_minute`` calls in any 60 seconds, over all threads of a worker."""
 

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from claimloom import cli, providers
 from claimloom.functions.embedding import embed, embed_text
-from claimloom.operators import pipeline, store
+from claimloom.operators import pipeline, reports, store
 from claimloom.operators.vectors import near_vectors
 from claimloom.plans import catalogue
 from claimloom.sources import responses, sinks
@@ -78,6 +78,23 @@ def test_front_matter(spark):
     assert row["head"] == "\n".join(f"{n}" * 3000 for n in range(6)) and row["tail"] == "\n".join(f"{n}" * 1200 for n in (7, 8))
 
 
+def test_notes(spark):
+    class Says:
+        def note(self, verdict, explanation):
+            if explanation is None:
+                raise ValueError("no context")
+            return {"relationship": "contradicts"}
+
+    queue = spark.createDataFrame([(1, "Contradicts ", "x"), (2, "reconciled", "y"), (3, "contradicts", None)], "verdict_id long, verdict string, explanation string")
+    assert {r["verdict_id"]: r["agrees"] for r in providers.note_verdicts(queue, Says()).collect()} == {1: True, 2: False}
+
+
+def test_quarantine_report(spark):
+    rows = spark.createDataFrame([(1, 1, "unanchored", "{}"), (2, 1, "unanchored", "{}"), (3, 1, "value_not_in_quote", "{}")], "quote_id long, witness_id long, reason string, payload string")
+    reasons, listed = reports.quarantine_report(rows, spark.createDataFrame([(1, "T", "f")], "witness_id long, title string, filename string"), 2)
+    assert [tuple(r) for r in reasons.collect()] == [("unanchored", 2), ("value_not_in_quote", 1)] and [r["quote_id"] for r in listed.collect()] == [3, 2]
+
+
 def test_limits_and_retries():
     now, slept = [0.0], []
     limiter = providers.RateLimiter(2, lambda: now[0], lambda s: (slept.append(s), now.__setitem__(0, now[0] + s)))
