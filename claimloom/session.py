@@ -3,10 +3,12 @@
 from __future__ import annotations
 
 import atexit
+import io
 import os
 import shutil
 import tempfile
 import uuid
+import zipfile
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -29,7 +31,9 @@ def build_session(app: str = "claimloom", master: str | None = None, shuffle_par
         builder = builder.master(master).config("spark.driver.memory", os.environ.get("CLAIMLOOM_DRIVER_MEMORY", "8g"))
     if shuffle_partitions:
         builder = builder.config("spark.sql.shuffle.partitions", str(shuffle_partitions))
-    return builder.getOrCreate()
+    spark = builder.getOrCreate()
+    ship(spark)
+    return spark
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -43,9 +47,34 @@ def shared_folder(spark: SparkSession) -> str:
     return f"file://{folder}"
 
 
+def ship(spark: SparkSession) -> None:
+    """Give the executors this package, once a session: they need not have it installed."""
+    context = spark.sparkContext
+    if getattr(context, "_claimloom_shipped", False):
+        return
+    home = os.path.dirname(os.path.abspath(__file__))
+    packed = io.BytesIO()
+    with zipfile.ZipFile(packed, "w", zipfile.ZIP_DEFLATED) as archive:
+        for folder, _, names in os.walk(home):
+            for name in sorted(names):
+                if name.endswith(".py"):
+                    full = os.path.join(folder, name)
+                    archive.write(full, os.path.join("claimloom", os.path.relpath(full, home)))
+    path = f"{shared_folder(spark)}/claimloom/claimloom-{uuid.uuid4().hex}.zip"
+    where = context._jvm.org.apache.hadoop.fs.Path(path)
+    out = where.getFileSystem(context._jsc.hadoopConfiguration()).create(where)
+    try:
+        out.write(bytearray(packed.getvalue()))
+    finally:
+        out.close()
+    context.addPyFile(path)
+    context._claimloom_shipped = True
+
+
 def keep(df: DataFrame, name: str = "table") -> DataFrame:
     """Write ``df`` to the shared folder and read it back: cuts the lineage and survives lost executors."""
     spark = df.sparkSession
+    ship(spark)
     path = f"{shared_folder(spark)}/claimloom/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     kept = spark.read.schema(df.schema).parquet(path)

@@ -3,6 +3,8 @@
 import glob
 import math
 import os
+import subprocess
+import sys
 
 import duckdb
 import pytest
@@ -171,6 +173,15 @@ def test_stream(spark, data, tmp_path):
     assert ingest.arrivals(claims).agg(F.sum("n")).first()[0] == claims.count()
 
 
+def test_executors_need_no_installed_package(data, tmp_path):
+    """A query with Python in it, started elsewhere and with nothing on the path of the workers."""
+    home = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    code = f"import sys; sys.path.insert(0, {home!r}); import __spark_entry__ as e; from pyspark.sql import SparkSession; s = SparkSession.builder.master('local[2]').config('spark.ui.enabled', 'false').getOrCreate(); print('ROWS', e.queries()['resolved_entities'](s, {data!r}).count())"
+    env = {k: v for k, v in os.environ.items() if k != "PYTHONPATH"}
+    done = subprocess.run([sys.executable, "-c", code], cwd=tmp_path, env=env, capture_output=True, text=True, timeout=240)
+    assert "ROWS" in done.stdout, done.stderr[-2000:]
+
+
 def plain(v):
     if v is None or isinstance(v, float) and math.isnan(v):
         return "null"
