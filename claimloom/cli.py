@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from claimloom.operators import pipeline, reports
 from claimloom.providers import PlainTextParser, SentenceExtractor
-from claimloom.session import build_session
+from claimloom.session import build_session, clean
 from claimloom.sources import sinks
 from claimloom.sources.files import scan_files
 from claimloom.sources.tables import table
@@ -70,7 +70,9 @@ def main(argv: list[str] | None = None, spark=None) -> int:
             sub.add_argument("--yes", action="store_true")
         sub.set_defaults(run=run)
     args = parser.parse_args(argv)
-    args.run(spark or build_session(), args)
+    spark = spark or build_session()
+    args.run(spark, args)
+    clean(spark)
     return 0
 
 

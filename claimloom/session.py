@@ -47,6 +47,20 @@ def shared_folder(spark: SparkSession) -> str:
     return f"file://{folder}"
 
 
+def _own_folder(spark: SparkSession) -> str:
+    """This application's part of the shared folder."""
+    return f"{shared_folder(spark)}/claimloom/{spark.sparkContext.applicationId}"
+
+
+def clean(spark: SparkSession) -> None:
+    """Delete all tables that ``keep`` made in this application, once their results have been written."""
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(_own_folder(spark))
+    files = where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    for entry in files.listStatus(where) if files.exists(where) else []:
+        if entry.isDirectory():
+            files.delete(entry.getPath(), True)
+
+
 def ship(spark: SparkSession) -> None:
     """Give the executors this package, once a session: they need not have it installed."""
     context = spark.sparkContext
@@ -60,7 +74,7 @@ def ship(spark: SparkSession) -> None:
                 if name.endswith(".py"):
                     full = os.path.join(folder, name)
                     archive.write(full, os.path.join("claimloom", os.path.relpath(full, home)))
-    path = f"{shared_folder(spark)}/claimloom/claimloom-{uuid.uuid4().hex}.zip"
+    path = f"{_own_folder(spark)}/claimloom.zip"
     where = context._jvm.org.apache.hadoop.fs.Path(path)
     out = where.getFileSystem(context._jsc.hadoopConfiguration()).create(where)
     try:
@@ -75,7 +89,7 @@ def keep(df: DataFrame, name: str = "table") -> DataFrame:
     """Write ``df`` to the shared folder and read it back: cuts the lineage and survives lost executors."""
     spark = df.sparkSession
     ship(spark)
-    path = f"{shared_folder(spark)}/claimloom/{name}-{uuid.uuid4().hex}"
+    path = f"{_own_folder(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     kept = spark.read.schema(df.schema).parquet(path)
     kept._claimloom_path = path
