@@ -12,6 +12,7 @@ import unicodedata
 import zlib
 from collections import Counter
 from dataclasses import dataclass
+from functools import lru_cache
 
 import numpy as np
 
@@ -55,19 +56,20 @@ def _close_up(text: str) -> str:
     return _SPACED.sub(lambda m: re.sub(r"[\s._\-*/]", "", m[0]), text)
 
 
+@lru_cache(MEMORY)
+def _plain_word(word: str) -> str:
+    """A word without stand-in signs, stretched letters and masked middles; a number is just that."""
+    if word[0].isdigit():
+        return "0"
+    if "*" in word:
+        return f"{word[0]}*{word[-1] if word[-1] != '*' else ''}"
+    if len(word) > 1 and not word.isalpha():
+        return word.translate(LEET)
+    return re.sub(r"(.)\1{2,}", r"\1\1", word) if len(word) > 3 else word
+
+
 def words_of(part: str) -> list[str]:
-    out = []
-    for word in _WORD.findall(part):
-        if word[0].isdigit():
-            word = "0"
-        elif len(word) > 1 and not word.isalpha() and "*" not in word:
-            word = word.translate(LEET)
-        elif "*" in word:
-            word = f"{word[0]}*{word[-1] if word[-1] != '*' else ''}"
-        elif len(word) > 3:
-            word = re.sub(r"(.)\1{2,}", r"\1\1", word)
-        out.append(word)
-    return out
+    return [_plain_word(w) for w in _WORD.findall(part)]
 
 
 def windows_of(text: str | None) -> list[list[str]]:
