@@ -15,6 +15,8 @@ from claimloom.session import keep
 
 #: Length of the q-grams of the identifying part, and least weighted similarity of two variants.
 Q, LEAST = 4, 0.70
+#: Sizes of stems whose q-grams the allowed edits may all spoil (``(Q + 1) * edits >= size + Q - 1``), and of their partners.
+SWAPPED = (1, 2, 7, 10, 11, 12)
 
 
 def allowed_edits(size: int) -> int:
@@ -38,24 +40,50 @@ def read_names(names: DataFrame, column: str) -> DataFrame:
     return distinct.mapInPandas(run, "name string, stem string, kind string, trade string, given string, initials string")
 
 
-def near_stems(stems: DataFrame) -> DataFrame:
-    """Pairs ``(a, b, edits)``, a < b, of stems within the allowed edits, by a prefix-filtered join on q-grams.
+#: Bits of the letters that ``letters`` holds in order: one for a letter, another for its repetition; an edit changes at most two of them.
+_BITS = "aggregate(transform(letters, (x, i) -> shiftleft(1L, pmod(ascii(x), 32) + if(i > 0 and letters[greatest(i - 1, 0)] = x, 32, 0))), 0L, (m, b) -> m | b)"
+
 
-    Of a stem's q-grams only the rarest ``Q * edits + 1`` are joined: two
-    stems that share none of these are more edits apart than the two that are
-    searched for (one for short stems).  Grams must stand at about the same
-    place and lengths must be close, which the join itself checks.
+def near_stems(stems: DataFrame) -> DataFrame:
+    """Pairs ``(a, b, edits)``, a < b, of all stems within the allowed edits, by a prefix-filtered join on q-grams.
+
+    A plain edit spoils at most ``Q`` of a stem's q-grams, a swap of
+    neighbours ``Q + 1``.  So of each stem only the rarest ``(Q + 1) * edits +
+    1`` are joined, for the most edits that any partner allows, with all
+    grams as rare as the last: two stems that share none of these are further
+    apart.  Grams must stand at about the same place and lengths must be
+    close, which the join itself checks.  Stems of ``SWAPPED`` letters may be
+    so short for their edits that swaps, with one plain edit at most, spoil
+    every gram; these are joined on their sorted letters too, all and with
+    one left out.
     """
     padded = F.concat(F.lit("\u0002" * (Q - 1)), "stem", F.lit("\u0003" * (Q - 1)))
     at = F.explode(F.sequence(F.lit(1), F.length("stem") + (Q - 1))).alias("at")
-    grams = stems.select("stem", F.length("stem").alias("size"), padded.alias("padded"), at).select("stem", "size", "at", F.substring(F.col("padded"), F.col("at"), F.lit(Q)).alias("gram"))
+    letters = F.array_sort(F.filter(F.split("stem", ""), lambda c: c != ""))
+    known = stems.select("stem", F.length("stem").alias("size"), letters.alias("letters")).withColumn("bits", F.expr(_BITS))
+    grams = known.select("stem", "size", "bits", padded.alias("padded"), at).select("stem", "size", "bits", "at", F.substring(F.col("padded"), F.col("at"), F.lit(Q)).alias("gram"))
     common = grams.groupBy("gram").agg(F.count("*").alias("many"))
-    first = F.when(F.col("size") < 7, Q + 1).otherwise(2 * Q + 1)
-    ranked = grams.join(common, "gram").withColumn("nth", F.row_number().over(W.partitionBy("stem").orderBy("many", "gram", "at")))
-    prefix = ranked.where((F.col("nth") <= first) & (F.col("many") > 1)).select("stem", "size", "at", "gram")
-    a, b = (prefix.select("gram", *[F.col(c).alias(f"{c}_{side}") for c in ("stem", "size", "at")]) for side in "ab")
+    # The most edits to a partner: those of 5 and 6 letters may have one of 7, those of 8 to 10 one of 11.
+    first = F.when(F.col("size") < 5, Q + 2).when(F.col("size") < 8, 2 * (Q + 1) + 1).otherwise(3 * (Q + 1) + 1)
+    ranked = grams.join(common, "gram").withColumn("nth", F.rank().over(W.partitionBy("stem").orderBy("many", "gram")))
+    prefix = ranked.where((F.col("nth") <= first) & (F.col("many") > 1)).select("stem", "size", "bits", "at", "gram")
+    short = known.where(F.col("size").isin(*SWAPPED))
+    without = lambda i: F.concat(F.slice("letters", 1, i - 1), F.slice("letters", i + 1, F.col("size")))
+    bags = F.array_distinct(F.concat(F.array("letters"), F.transform(F.sequence(F.lit(1), F.col("size")), without)))
+    # Kept apart from the grams by a mark; the place plays no part.
+    bagged = short.select("stem", "size", "bits", F.lit(0).alias("at"), F.explode(F.transform(bags, lambda x: F.concat(F.lit("\u0001"), F.array_join(x, "")))).alias("gram"))
+    keys = prefix.unionByName(bagged)
+    a, b = (keys.select("gram", *[F.col(c).alias(f"{c}_{side}") for c in ("stem", "size", "bits", "at")]) for side in "ab")
+    larger = F.greatest("size_a", "size_b")
+    by_size = lambda f: F.when(larger < 7, f(1)).when(larger < 11, f(2)).otherwise(f(3))  # noqa: E731  as allowed_edits
+    most = by_size(F.lit)
     met = a.join(b, "gram").where(
-        (F.col("stem_a") < F.col("stem_b")) & (F.abs(F.col("size_a") - F.col("size_b")) <= 3) & (F.abs(F.col("at_a") - F.col("at_b")) <= 3) & (F.levenshtein("stem_a", "stem_b", 4) >= 0)
+        (F.col("stem_a") < F.col("stem_b"))
+        & (F.abs(F.col("size_a") - F.col("size_b")) <= most)
+        & (F.abs(F.col("at_a") - F.col("at_b")) <= most)
+        & (F.bit_count(F.col("bits_a").bitwiseXOR(F.col("bits_b"))) <= 2 * most)
+        # A swap is two edits to levenshtein.
+        & (by_size(lambda n: F.levenshtein("stem_a", "stem_b", 2 * n)) >= 0)
     )
     pairs = met.select(F.col("stem_a").alias("a"), F.col("stem_b").alias("b")).distinct()
 

@@ -136,6 +136,28 @@ def test_near_stems_misses_no_two_edits(spark):
     assert sure <= got <= most and len(sure) > 20
 
 
+def test_near_stems_finds_swaps_and_three_edits(spark):
+    """Beside brute force, with swaps and plain edits up to the limit, and stems of which swaps spoil every q-gram."""
+    from claimloom.functions.text import edit_distance
+
+    chance = random.Random(8)
+
+    def edited(w, n):
+        for _ in range(n):
+            i = chance.randrange(len(w) - 1)
+            w = chance.choice([w[:i] + w[i + 1 :], w[:i] + "z" + w[i:], w[:i] + "y" + w[i + 1 :], *[w[:i] + w[i + 1] + w[i] + w[i + 2 :]] * 3])
+        return w
+
+    words = ["".join(chance.choice("bcdfgklmnprst") if i % 2 else chance.choice("aeiou") for i in range(n)) for n in range(3, 17) for _ in range(5)]
+    words += [edited(w, n) for w in words for n in range(1, variants.allowed_edits(len(w)) + 1) for _ in range(3)]
+    swapped = [("ab", "ba"), ("abcdefg", "bacdegf"), ("abcdefghijk", "bacdegfhikj"), ("abcdefghijk", "bacdexfhikj"), ("abcdefghij", "bacdexfghji"), ("abcdefghijkl", "bacdegfhijlk"), ("abcdef", "bacdfeg")]
+    words = sorted({*words, *(w for p in swapped for w in p), "a", "b"})
+    got = {(r["a"], r["b"], r["edits"]) for r in variants.near_stems(spark.createDataFrame([(w,) for w in words], "stem string")).collect()}
+    want = {(a, b, d) for i, a in enumerate(words) for b in words[i + 1 :] if (d := edit_distance(a, b, (m := variants.allowed_edits(max(len(a), len(b)))))) <= m}
+    assert got == want, (want - got, got - want)
+    assert sum(d == 3 for *_, d in want) > 20
+
+
 @settings(max_examples=200, deadline=None)
 @given(st.text(max_size=60))
 def test_any_name_is_read(text):
