@@ -31,6 +31,7 @@ _LATIN = re.compile(r"[a-z]")
 _HIDDEN = re.compile("[\u0000-\u0008\u000e-\u001f\u007f-\u0084\u0086-\u009f\u00ad\u034f\u061c\u115f\u1160\u180e\u200b-\u200f\u202a-\u202e\u2060-\u206f\ufe00-\ufe0f\ufeff\u0300-\u036f]")
 # A letter, or a vowel sign of an Indic script.
 _L = r"(?:[^\W\d_]|[\u0900-\u0963\u0970-\u0dff])"
+_LETTER = re.compile(_L)
 _SPACED = re.compile(r"(?<![^\W_])(?:[^\W\d_][\s._\-*/]{1,2}){2,}[^\W\d_](?![^\W_])")
 _WORD = re.compile(rf"{_L}+(?:['’*@$!|0-9]+{_L}+)*[*]*|\d[\d.,]*|[^\w\s]")
 _BREAK = re.compile(r"[.!?।。…:;|•]+(?=\s|$)|[\r\n]+|।|。")
@@ -73,11 +74,14 @@ def words_of(part: str) -> list[str]:
 
 
 def windows_of(text: str | None) -> list[list[str]]:
-    """Windows of at most ``WINDOW`` words of the sentences of a text; together they hold every word."""
+    """Windows of at most ``WINDOW`` words of the sentences of a text; together they hold every word.
+
+    Only sentences of nothing but numbers and signs are left out.
+    """
     out = []
     for part in _BREAK.split(plain(text or "")):
         words = words_of(part)
-        if any(w.isalpha() or "*" in w for w in words):
+        if any(_LETTER.match(w) or "*" in w for w in words):
             last = max(0, len(words) - WINDOW)
             out += [words[i : i + WINDOW] for i in [*range(0, last, STEP), last]]
     return out

@@ -367,6 +367,14 @@ def test_windows_hold_every_word():
     assert {w for words in windows for w in words} == {*text.split()} and all(len(w) <= machine.WINDOW for w in windows) and machine.windows_of(None) == machine.windows_of("") == []
 
 
+def test_windows_hold_sentences_of_vowel_signs_and_joined_words():
+    for text in ("तू कमीना है", "तुम साले", "তুমি বোকা", "don't"):
+        assert machine.windows_of(text) == [text.split()], text
+    assert machine.windows_of("12 3,400. -- 7 %") == []
+    scorer = machine.Scorer(machine.Machine(1.0, np.zeros(machine.BUCKETS, np.float32), np.zeros((machine.BUCKETS, machine.RANK), np.float32)))
+    assert scorer.scores(["तू कमीना है"]).tolist() == [1.0]
+
+
 def test_scorer_equals_the_formula():
     chance = np.random.default_rng(1)
     m = machine.Machine(-0.3, chance.normal(size=machine.BUCKETS).astype(np.float32), (0.1 * chance.normal(size=(machine.BUCKETS, machine.RANK))).astype(np.float32))
