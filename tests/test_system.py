@@ -7,6 +7,7 @@ import subprocess
 import sys
 
 import duckdb
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -159,6 +160,28 @@ def test_near_vectors(spark):
     assert near_vectors(df.limit(0), 0.9).count() == 0
 
 
+@pytest.mark.parametrize("floor", [0.68, 0.8, 0.97])
+@pytest.mark.parametrize("kind", ["float", "double"])
+def test_near_vectors_finds_every_pair(spark, monkeypatch, floor, kind):
+    """Many centres, several blocks and copies, beside brute force."""
+    from claimloom.operators import vectors
+
+    monkeypatch.setattr(vectors, "PER_CENTRE", 20)
+    monkeypatch.setattr(vectors, "BLOCK", 50)
+    monkeypatch.setattr(vectors, "STEP", 16, raising=False)
+    chance = np.random.default_rng(4)
+    v = (chance.normal(size=(600, 8)) + 1.5 * chance.normal(size=(12, 8))[chance.integers(0, 12, 600)]).astype(np.float32)
+    v[590:] = v[:10]
+    df = spark.createDataFrame([(f"k{i:03}", [float(x) for x in row]) for i, row in enumerate(v)], f"id string, vec array<{kind}>")
+    u = v.astype(np.float64)
+    u /= np.linalg.norm(u, axis=1, keepdims=True)
+    cosine = u @ u.T
+    want = {(f"k{i:03}", f"k{j:03}") for i, j in zip(*np.nonzero(cosine >= floor)) if i < j}
+    got = {(r["a"], r["b"]): r["score"] for r in near_vectors(df, floor).collect()}
+    assert set(got) == want and len(want) > 50
+    assert all(abs(s - cosine[int(a[1:]), int(b[1:])]) < 1e-9 for (a, b), s in got.items())
+
+
 def test_stream(spark, data, tmp_path):
     claims = table(spark, data, "claim")
     schema = claims._jdf.schema().toDDL()
