@@ -86,16 +86,22 @@ def _letters(word: str) -> int:
 def _assign(words: list[list[tuple[float, list[str]]]], need: frozenset[str]) -> float | None:
     """The least cost at which the words' readings cover all of ``need``; None if they cannot."""
     best: dict[frozenset[str], float] = {need: 0.0}
-    for options in words:
+    # What the words after each can still cover: sets that hold anything else are lost, all others are kept.
+    later: list[set[str]] = [set()]
+    for options in reversed(words[1:]):
+        later.append(later[-1].union(*(run for _, run in options)))
+    for options, coverable in zip(words, reversed(later)):
         after: dict[frozenset[str], float] = {}
         for open_, cost in best.items():
             for c, run in options:
                 left = open_.difference(run)
+                if not left <= coverable:
+                    continue
                 # A reading that adds nothing is a repetition, and costs what a misreading costs.
                 total = cost + c + (0.0 if len(left) < len(open_) or c == 0 else 0.2)
                 if total < after.get(left, 9e9):
                     after[left] = total
-        best = dict(sorted(after.items(), key=lambda x: x[1])[:64])
+        best = after
     return best.get(frozenset())
 
 

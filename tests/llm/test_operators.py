@@ -75,6 +75,14 @@ def test_wordings():
     assert canonical.Matcher([(5, "Net worth"), (2, "net  worth")]).resolve("NET WORTH") == 2
 
 
+def test_assignment_is_the_cheapest_cover():
+    """The only cover leaves words open that are dear to leave until the end, among more than 64 cheaper sets."""
+    need = frozenset("abcdefgh")
+    words = [[(0.0, []), (0.0, [c])] for c in "abcdefg"] + [[(0.0, []), (0.0, ["h"])]]
+    words[0] = [(0.0, []), (5.0, ["a"])]
+    assert canonical._assign(words, need) == 5.0
+
+
 @settings(max_examples=150, deadline=None)
 @given(st.text(max_size=40))
 def test_any_wording_is_decided(text):
