@@ -89,13 +89,14 @@ def lexicon(notations: DataFrame) -> DataFrame:
     return whole.select("notation", F.coalesce(unit["unit"], F.lit("count")).alias("unit"), (F.coalesce(unit["factor"], F.lit(1.0)) * scale).alias("factor"), "known")
 
 
-def resolve_notations(readings: DataFrame, most_rounds: int = 5) -> tuple[DataFrame, DataFrame]:
+def resolve_notations(readings: DataFrame) -> tuple[DataFrame, DataFrame]:
     """``(notation, unit, factor, how)`` of every notation, and the links between them.
 
     Notations whose words are all known state their unit (``stated``).  The
     others get it through the graph: a tight link to a resolved notation
     gives the ratio, which is snapped to a known conversion; the best
-    supported link wins, and rounds of this carry it on (``linked``).  What
+    supported link wins, and rounds of this carry it on (``linked``) until
+    one adds nothing.  What
     remains is read as far as its known words go (``assumed``).
     """
     notations = keep(lexicon(readings.select("notation").distinct()), "notations")
@@ -104,7 +105,7 @@ def resolve_notations(readings: DataFrame, most_rounds: int = 5) -> tuple[DataFr
     open_ = notations.where("not known")
     tight = links.where((F.col("scatter") <= SCATTER) & (F.col("shared") >= LEAST_SHARED))
     ways = tight.select("a", "b", "ratio", "shared").unionByName(tight.select(F.col("b").alias("a"), F.col("a").alias("b"), (1 / F.col("ratio")).alias("ratio"), "shared"))
-    for _ in range(most_rounds):
+    while True:  # each round solves another notation, or is the last
         todo = open_.join(solved, "notation", "left_anti")
         if todo.isEmpty():
             break

@@ -85,6 +85,15 @@ def test_graph_resolves_unknown_notations(spark, seed):
     assert (found["quux"]["unit"], found["quux"]["factor"], found["quux"]["how"]) == ("count", 1.0, "assumed")
 
 
+def test_graph_carries_on_to_the_last_notation(spark):
+    """Invented words in a chain of seven, each ten times the one before."""
+    chain = ["kg", *(f"zwonk{c}" for c in "qwxzvjk")]
+    rows = [claim(len(chain) * s + 100 * i + j, f"{(s + 1) * 7 * 10 ** (1 - j)}", chain[i + j], None, entity=f"E{i}-{s}", measure="stock") for i in range(len(chain) - 1) for s in range(4) for j in range(2)]
+    found = {r["notation"]: (r["unit"], r["factor"], r["how"]) for r in resolve_notations(read_quantities(spark.createDataFrame(rows, SCHEMA)))[0].collect()}
+    for i, notation in enumerate(chain[1:], 1):
+        assert found[notation] == ("kg", pytest.approx(10.0**i), "linked"), (notation, found)
+
+
 def test_links_measure_ratio_and_offset(spark):
     rows = [(f"{i}", x, n, f"s{i}") for i in range(30) for n, x in (("a", 10.0 + i), ("b", 20.0 + 2 * i))] + [("o", 1.0, "a", "odd"), ("o", 900.0, "b", "odd")]
     link = notation_links(spark.createDataFrame([(r[1], r[2], r[3]) for r in rows], "number double, notation string, subject string").withColumn("claim_id", F.lit(1))).first()
