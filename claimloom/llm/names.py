@@ -122,24 +122,48 @@ def _both(table: dict[str, str]) -> dict[str, frozenset[str]]:
 
 _FIELD = {form: min(words) for form, words in _both(FIELDS).items()}
 _GIVEN = _both(GIVEN)
-#: Longer words that a typist may have misspelt or run together with the next.
-_KNOWN = sorted({*FIELDS, *GIVEN, *LEGAL, "government"})
-_SUFFIXES = sorted((w for w in {*_FIELD, *LEGAL} if len(w) >= 4 or w in ("ltd", "llp", "inc")), key=lambda w: (-len(w), w))
+_TAILS = sorted((w for w in {*_FIELD, *LEGAL} if len(w) >= 4 or w in ("ltd", "llp", "inc")), key=lambda w: (-len(w), w))
+#: From this length on, a word of business is not taken for a name that is an edit away.
+LONG = 7
 
 
 class Name(NamedTuple):
-    """``stem`` identifies; ``trade`` is the line of business or office, ``given`` the given names it may be, ``initials`` in order."""
+    """``words`` identify, in the order written; ``slips`` has, for each, the known word that it may be a slip of (or a blank).
 
-    stem: str
-    kind: str  # company, body or person; blank if nothing tells
+    A slip may also be a known word that is run together with the word before
+    it.  ``trade`` is the line of business or office, ``given`` the given names the
+    name may hold, ``initials`` the others in order; ``legal`` tells whether a
+    legal form or a form of address for firms stands there.
+    """
+
+    words: tuple[str, ...]
+    slips: tuple[str, ...]
     trade: tuple[str, ...]
     given: tuple[str, ...]
     initials: str
+    legal: bool
+
+
+_LONG_FORMS = tuple(sorted(w for w in {*_FIELD, *LEGAL, "government"} if len(w) >= LONG))
+_SHORT_FORMS = tuple(sorted(w for w in {*_FIELD, *LEGAL} if 3 <= len(w) < LONG))
+_GIVEN_FORMS = tuple(sorted(w for w in _GIVEN if len(w) >= 5))
+
+
+def _nearest(word: str, forms: tuple[str, ...]) -> str:
+    """The form that ``word`` is nearest to, a blank without one: two edits from forms of nine letters on, one from others; the first letter of a short one must stand."""
+    best = None
+    for form in forms:
+        limit = 2 if len(form) >= 9 else 1
+        if len(word) >= 3 and abs(len(word) - len(form)) <= limit and (len(form) >= LONG or form[0] == word[0]) and (d := edit_distance(word, form, limit)) <= limit:
+            rest = iter(form)
+            rank = (d, form[0] != word[0], not all(c in rest for c in word), form)
+            best = rank if best is None or rank < best else best
+    return best[-1] if best else ""
 
 
 @lru_cache(100_000)
 def _role(word: str) -> tuple[str, object]:
-    """What a folded word is: legal, title, glue, initial, trade, given or rare."""
+    """What a folded word is: legal, title, glue, initial, trade, given or rare; long words of business and law may be a slip away."""
     if len(word) == 1:
         return "initial", word
     if word in LEGAL:
@@ -152,34 +176,45 @@ def _role(word: str) -> tuple[str, object]:
         return "trade", _FIELD[word]
     if word in _GIVEN:
         return "given", tuple(sorted(_GIVEN[word]))
-    if len(word) >= 4:
-        best = None
-        for known in _KNOWN:
-            limit = 0 if len(known) < 5 else 1 if len(known) < 7 else 2
-            if limit and (d := edit_distance(word, known, limit)) <= limit:
-                rank = (d, known[0] != word[0], known)
-                best = rank if best is None or rank < best else best
-        if best:
-            return _role(best[2])
-    return "rare", word
-
-
-def _split_joined(word: str) -> list[str]:
-    """A long word that ends in a known one is the two of them."""
-    if len(word) >= 9 and word not in _FIELD and word not in _GIVEN:
-        for tail in _SUFFIXES:
-            if word.endswith(tail) and len(word) - len(tail) >= 5 and _role(word)[0] == "rare":
-                return [*_split_joined(word[: -len(tail)]), tail]
+    form = _nearest(word, _LONG_FORMS)
+    return _role(form) if form else ("rare", word)
+
+
+@lru_cache(100_000)
+def slip_of(word: str, evident: bool) -> str:
+    """``trade:WORD``, ``legal:`` or ``given:WORD`` for a rare word that may be a slip of a known one, ``join:HEAD:WORD`` for one that may end in one, else a blank.
+
+    Short words of business have namesakes an edit away; these count only
+    beside ``evident`` signs of a firm or office.
+    """
+    if not evident and (tail := next((t for t in _TAILS if t in _FIELD and word.endswith(t) and len(word) - len(t) >= 5), "")):
+        return f"join:{word[: -len(tail)]}:{_FIELD[tail]}"
+    form = _nearest(word, _SHORT_FORMS) if evident else ""
+    if form:
+        return f"trade:{_FIELD[form]}" if form in _FIELD else "legal:"
+    form = _nearest(word, _GIVEN_FORMS)
+    return f"given:{min(_GIVEN[form])}" if form else ""
+
+
+def _split_joined(word: str, evident: bool) -> list[str]:
+    """A long word that ends in a known one is the two of them; a short known one needs other signs of a firm or office."""
+    if len(word) >= 9 and _role(word)[0] == "rare":
+        for tail in _TAILS:
+            if word.endswith(tail) and len(word) - len(tail) >= 5 and (evident or len(tail) >= LONG):
+                return [*_split_joined(word[: -len(tail)], True), tail]
     return [word]
 
 
-_DOTTED = re.compile(r"\b(?:[^\W\d_]\.\s?){2,}[^\W\d_]?\b")
 _CAMEL = re.compile(r"(?<=[^\W\d_A-ZÀ-Þ])(?=[A-ZÀ-Þ][^\W\d_A-ZÀ-Þ])")
 _WORD = re.compile(r"m/s|[^\W_]+(?:'[^\W_]+)?")
 
 
 def read_name(name: str) -> Name | None:
-    """The parts of a name; None where nothing in it identifies anyone, as in a self-reference."""
+    """The parts of a name; None for a self-reference and where it holds nothing but legal forms, titles and signs.
+
+    Words of business, given names and single letters describe the bearer and
+    the rest identify it; where nothing is left to identify it, all of these do.
+    """
     text = name
     if re.search(r"\b[a-zà-ÿ][A-ZÀ-Þ]{2,}", text) and not re.search(r"\b[A-ZÀ-Þ][a-zà-ÿ]{2,}", text):
         text = text.swapcase()  # caps lock was on
@@ -188,13 +223,16 @@ def read_name(name: str) -> Name | None:
     words = [w.replace("'", "") for w in _WORD.findall(text)]
     if all(w in SELF or w in ("the", "our", "this", "said", "reporting") for w in words):
         return None
+    roles = [_role(w)[0] for w in words]
+    evident = "legal" in roles or "trade" in roles or "m/s" in words or "messrs" in words
     rare: list[str] = []
     trade: set[str] = set()
     given: list[tuple[str, ...]] = []
+    typed: list[str] = []
     initials: list[str] = []
-    legal = False
+    legal = "m/s" in words or "messrs" in words
     for joined in words:
-        for word in _split_joined(joined):
+        for word in _split_joined(joined, evident):
             role, what = _role(word)
             if role == "rare":
                 rare.append(word)
@@ -202,29 +240,29 @@ def read_name(name: str) -> Name | None:
                 trade.add(what)
             elif role == "given":
                 given.append(what)
+                typed.append(min(what))
             elif role == "initial":
                 initials.append(word)
             elif role == "legal":
                 legal = True
-    if len(rare) > 1:
-        # Beside the identifying word, a short one may be a misspelt short form.
-        for word in [w for w in rare if len(w) <= 6]:
-            close = min(((edit_distance(word, s, 1), s[0] != word[0], s) for s in _FIELD if len(s) >= 3), default=None)
-            if len(rare) > 1 and close and close[0] <= 1 and (len(close[2]) > 3 or not close[1]):
-                rare.remove(word)
-                trade.add(_FIELD[close[2]])
     if {"commerce", "electricity"} <= trade and "ministry" not in trade:
         trade = trade - {"commerce"} | {"commission"}  # the short form is the same
     if given and (trade or legal):
-        # A company may be called after a person.
-        rare = rare + [g[0] for g in given] if not rare else rare
-        given = []
-    if not rare and len(initials) > 3:
+        # A firm may be called after a person.
+        rare, given = rare + typed, []
+    if not rare and not given and len(initials) > 1:
         rare, initials = ["".join(initials)], []
+    if not rare:
+        # Nothing but known words: together they identify.
+        rare, given = sorted({*typed}), []
+        if not rare:
+            rare, trade = sorted(trade), set()
+    elif len(given) > 1:
+        initials = [g[0][0] for g in given[1:]] + initials
+    rare = list(dict.fromkeys(rare))
     if not rare:
         return None
-    stem = "".join(rare)
-    kind = "body" if trade & OFFICES else "company" if trade or legal else "person" if given or initials else ""
-    if kind != "person":
-        initials = []
-    return Name(stem, kind, tuple(sorted(trade)), given[0] if given else (), "".join(initials))
+    slips = [slip_of(w, evident) for w in rare]
+    if all(s and not s.startswith("join:") for s in slips):
+        slips = [""] * len(slips)
+    return Name(tuple(rare), tuple(slips), tuple(sorted(trade)), given[0] if given else (), "".join(initials), legal)
