@@ -63,6 +63,9 @@ UNITS = [
     (r"weeks?", "min", 10_080.0),
 ]
 
+# Words for a metre, which beside a currency may be a million.
+METRES = r"mtrs?|met(?:re|er)s?|m"
+
 # Words of a notation that say no more than that something is counted.
 COUNTED = r"nos?|numbers?|units?|pieces?|pcs|persons?|people|employees|shipments?|parcels?|vehicles?|#"
 
@@ -116,18 +119,28 @@ def unit_words(unit: Column) -> Column:
 
 
 def beside_number(quote: Column, value: Column) -> Column:
-    """The notation that stands beside the verbatim ``value`` in ``quote``: a currency before it, a scale and unit after it."""
+    """The notation that stands beside the verbatim ``value`` in ``quote``: a currency before it, a scale and unit after it.
+
+    The same digits may stand elsewhere too, as in a period; the first place
+    with a notation beside it counts.
+    """
     # The value as a number of its own, not inside another one.
-    at = F.regexp_instr(quote, F.concat(F.lit(r"(?<![0-9])(?<![0-9][.,])\Q"), value, F.lit(r"\E(?![0-9])(?![.,][0-9])")))
-    before = tidy(F.substring(quote, F.greatest(at - 14, F.lit(1)), F.least(at - 1, F.lit(14))))
-    after = tidy(F.substring(quote, at + F.length(value), F.lit(40)))
-    symbol = F.regexp_extract(before, r"((?:(?<![a-z])(?:us\s?\$|usd|us dollars?|inr|rs|rupees?)|₹|\$)\.?)\s*[-+(]*\s*$", 1)
+    alone = F.concat(F.lit(r"(?<![0-9])(?<![0-9][.,])\Q"), value, F.lit(r"\E(?![0-9])(?![.,][0-9])"))
+    currency = r"((?:(?<![a-z])(?:us\s?\$|usd|us dollars?|inr|rs|rupees?)|₹|\$)\.?)\s*[-+(]*\s*$"
     scale = _whole("|".join(SCALES)) + r"\.?"
     signs = r"%|‰|#"
     words = "|".join(p for p, _, _ in UNITS[2:])
-    unit = rf"(?:{signs}|{_whole(words + '|us dollars?|rupees?|' + COUNTED)}\.?)"
-    follows = F.regexp_extract(after, rf"^[)*^†‡\s]*(?:in\s+)?((?:{scale})?\s*(?:{unit})?(?:\s*\((?:metric tonnes|million sq ft)\))?)", 1)
-    return F.when((at > 0) & (F.length(value) > 0), F.trim(F.regexp_replace(F.concat_ws(" ", symbol, F.regexp_replace(follows, r"[().]", " ")), r"\s+", " "))).otherwise(F.lit(""))
+    unit = rf"(?:{signs}|{_whole(words + '|us dollars?|rupees?|' + METRES + '|' + COUNTED)}\.?)"
+    follows = rf"^[)*^†‡\s]*(?:in\s+)?((?:{scale})?\s*(?:{unit})?(?:\s*\((?:metric tonnes|million sq ft)\))?)"
+
+    def beside(before: Column, after: Column) -> Column:
+        symbol = F.regexp_extract(tidy(F.right(before, F.lit(14))), currency, 1)
+        words = F.regexp_extract(tidy(F.left(after, F.lit(40))), follows, 1)
+        return F.trim(F.regexp_replace(F.concat_ws(" ", symbol, F.regexp_replace(words, r"[().]", " ")), r"\s+", " "))
+
+    parts = F.split(quote, alone)
+    places = F.transform(F.slice(parts, 2, F.greatest(F.size(parts) - 1, F.lit(0))), lambda after, i: beside(parts[i], after))
+    return F.when(F.length(value) > 0, F.coalesce(F.get(F.filter(places, lambda p: p != ""), F.lit(0)), F.lit(""))).otherwise(F.lit(""))
 
 
 def _first(notation: Column, table: list[tuple[str, object]]) -> Column:
@@ -157,7 +170,7 @@ def lexicon_unit(notation: Column) -> Column:
     """``struct(unit, factor)`` by the fixed tables: the unit factor of the first unit named, null if none is."""
     tables = [(_unit_pattern(p), (unit, factor)) for p, unit, factor in UNITS]
     # A lone m is a metre; after a currency it is a million, but a currency comes first here.
-    tables.append((_whole("mtrs?|met(?:re|er)s?|m"), ("m", 1.0)))
+    tables.append((_whole(METRES), ("m", 1.0)))
     picked = None
     for pattern, (unit, factor) in tables:
         found = F.struct(F.lit(unit).alias("unit"), F.lit(factor).alias("factor"))
@@ -174,5 +187,5 @@ def lexicon_scale(notation: Column) -> Column:
 
 def is_known(notation: Column) -> Column:
     """Whether every word of a notation is in the fixed tables."""
-    words = "|".join([*(p for p, _, _ in UNITS), *SCALES, COUNTED, "mtrs?|met(?:re|er)s?|m", "weight", "metric"])
+    words = "|".join([*(p for p, _, _ in UNITS), *SCALES, COUNTED, METRES, "weight", "metric"])
     return F.trim(F.regexp_replace(F.regexp_replace(notation, r"us\s?\$|[₹$%‰#|]", " "), _whole(words) + r"|[.\s]", "")) == ""

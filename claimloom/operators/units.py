@@ -7,61 +7,102 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from claimloom.functions import notation as N
+from claimloom.functions.labels import canonical_form, content_key, is_self_reference, split_qualifiers
+from claimloom.functions.period import parse_period
 from claimloom.session import keep
 
 #: Readings that two notations must share, and how far (in powers of ten) they may scatter, to be linked.
 LEAST_SHARED, SCATTER = 3, 0.02
+#: Rounds in which a line is fitted again through the readings near it.
+TRIMMED = 3
 
-# Ratios of units that an estimate may snap to, besides powers of ten times the factors of the unit table.
+# Ratios of units that an estimate may snap to, besides powers of ten times the factors of the unit table; the last two have an offset.
 _POWERS = [10.0**p for p in range(-12, 13)]
+_SLOPES = [9 / 5, 5 / 9]
 
 
 def known_ratios() -> list[float]:
     factors = sorted({f for _, _, f in N.UNITS})
-    return sorted({p * f for p in _POWERS for f in factors} | {p / f for p in _POWERS for f in factors})
+    return sorted({p * f for p in _POWERS for f in factors} | {p / f for p in _POWERS for f in factors} | {*_SLOPES})
+
+
+def _subject(claim: DataFrame) -> DataFrame:
+    """``claim_id, subject`` of a row of claims: what is measured, the same however different sources word it.
+
+    That is the entity without its legal form, the content words of the
+    measure and the period; null where one is missing or the entity is only
+    "the company".
+    """
+    # Periods repeat a few wordings over and over.
+    worded = claim.select("period_raw").where("period_raw is not null").distinct()
+    period = worded.select("period_raw", parse_period(F.col("period_raw")).alias("p")).where("p is not null")
+    entity = F.when(~is_self_reference(F.col("entity_raw")), F.nullif(canonical_form(F.col("entity_raw")), F.lit("")))
+    measure = content_key(split_qualifiers(F.col("measure_raw"))["name"])
+    rows = claim.select("claim_id", "period_raw", entity.alias("entity"), measure.alias("measure")).where("entity is not null and size(measure) > 0")
+    return rows.join(period, "period_raw").select("claim_id", F.xxhash64("entity", "measure", "p.start", "p.end").alias("subject"))
 
 
 def read_quantities(claim: DataFrame) -> DataFrame:
-    """``claim_id, number, notation, subject`` of each quantity claim that holds a number; repeated claims once.
+    """``claim_id, source, number, notation, subject`` of each quantity claim that holds a number; repeated claims once.
 
     ``notation`` is what value and unit say besides the number (``value |
     unit``) or, where both are silent, what the quote says beside it.
-    ``subject`` identifies what is measured: entity, measure, period, basis.
+    ``subject`` identifies what is measured, ``source`` who records it (the
+    witness; null where there is no such column).
     """
-    rows = claim.where(F.col("claim_type") == "quantity").select("claim_id", "value_raw", "unit_raw", "quote", "entity_raw", "measure_raw", "period_raw", "basis_raw")
+    source = F.col("witness_id") if "witness_id" in claim.columns else F.lit(None).cast("long")
+    rows = claim.where(F.col("claim_type") == "quantity").select("claim_id", source.alias("source"), "value_raw", "unit_raw", "quote", "entity_raw", "measure_raw", "period_raw")
     rows = rows.where("claim_id is not null and value_raw is not null")
     clean = rows.withColumn("clean", N.without_notes(N.tidy(F.col("value_raw"))))
-    said = clean.select("claim_id", N.number_in(F.col("clean")).alias("number"), N.words_of(F.col("clean")).alias("inside"), N.unit_words(F.col("unit_raw")).alias("unit"), "value_raw", "quote", *[F.lower(F.trim(F.coalesce(c, F.lit("")))).alias(c) for c in ("entity_raw", "measure_raw", "period_raw", "basis_raw")])
+    said = clean.select("claim_id", "source", N.number_in(F.col("clean")).alias("number"), N.words_of(F.col("clean")).alias("inside"), N.unit_words(F.col("unit_raw")).alias("unit"), "value_raw", "quote")
     silent = (F.col("inside") == "") & (F.col("unit") == "")
     noted = F.when(silent, F.coalesce(N.beside_number(F.col("quote"), F.col("value_raw")), F.lit(""))).otherwise(F.concat_ws(" | ", F.nullif("inside", F.lit("")), F.nullif("unit", F.lit(""))))
-    subject = F.when((F.col("entity_raw") != "") & (F.col("measure_raw") != "") & (F.col("period_raw") != ""), F.xxhash64("entity_raw", "measure_raw", "period_raw", "basis_raw"))
     # Written before it is filtered and grouped: a filter on a computed column would be pushed down and compute it twice.
-    parsed = keep(said.select("claim_id", "number", noted.alias("notation"), subject.alias("subject")), "parsed")
-    return parsed.where("number is not null").groupBy("claim_id").agg(F.min(F.struct("number", "notation", "subject")).alias("r")).select("claim_id", "r.*")
+    parsed = keep(said.select("claim_id", "source", "number", noted.alias("notation")), "parsed")
+    once = parsed.where("number is not null").groupBy("claim_id").agg(F.min(F.struct("number", "notation", "source")).alias("r")).select("claim_id", "r.*")
+    subject = _subject(rows).groupBy("claim_id").agg(F.min("subject").alias("subject"))
+    return once.join(subject, "claim_id", "left").select("claim_id", "source", "number", "notation", "subject")
 
 
-def notation_links(readings: DataFrame, least: int = LEAST_SHARED) -> DataFrame:
-    """Pairs of notations that record the same subjects: ``a, b, shared, ratio, scatter, offset``.
+def notation_links(readings: DataFrame) -> DataFrame:
+    """Pairs of notations that record the same subjects: ``a, b, shared, ratio, offset, scatter``.
 
     ``b = ratio * a + offset`` for most subjects.  Within a subject every
     notation is linked to one hub (its most used notation), so a subject with
     many readings adds no more rows than it has notations.  The ratio is the
-    median, the scatter the median absolute deviation of its logarithm, the
-    offset the median of what is left.
+    median one and the scatter the median deviation from it, in powers of ten.
+    Where that scatters, a line is tried: first through the medians
+    of the smaller and the larger half, then by least squares through the
+    readings that lie near it.  It counts, with twice the shared readings, if
+    it scatters little, and four times less than the ratio does.
     """
     usable = readings.where("subject is not null and number != 0")
     use = usable.groupBy("notation").agg(F.count("*").alias("uses"))
     each = usable.groupBy("subject", "notation").agg(F.avg("number").alias("number")).join(use, "notation")
     hub = F.max(F.struct("uses", "notation", "number")).over(W.partitionBy("subject"))
-    pairs = each.withColumn("hub", hub).where(F.col("hub.notation") != F.col("notation")).select(F.col("notation").alias("a"), F.col("hub.notation").alias("b"), F.col("number").alias("x"), F.col("hub.number").alias("y")).where("x * y > 0")
-    ratio = pairs.groupBy("a", "b").agg(F.count("*").alias("shared"), F.percentile_approx(F.log10(F.col("y") / F.col("x")), 0.5, 1000).alias("log_ratio")).where(F.col("shared") >= least)
-    # The spread and the offset are taken around the median ratio.
-    around = pairs.join(ratio, ["a", "b"]).groupBy("a", "b", "shared", "log_ratio")
-    rest = around.agg(
-        F.percentile_approx(F.abs(F.log10(F.col("y") / F.col("x")) - F.col("log_ratio")), 0.5, 1000).alias("scatter"),
-        F.percentile_approx(F.col("y") - F.pow(F.lit(10.0), F.col("log_ratio")) * F.col("x"), 0.5, 1000).alias("offset"),
+    pairs = each.withColumn("hub", hub).where(F.col("hub.notation") != F.col("notation")).select(F.col("notation").alias("a"), F.col("hub.notation").alias("b"), F.col("number").alias("x"), F.col("hub.number").alias("y"))
+    pairs = keep(pairs, "pairs")
+    median = lambda c: F.percentile_approx(c, 0.5, 1000)
+    log = F.when(F.col("x") * F.col("y") > 0, F.log10(F.col("y") / F.col("x")))
+    middle = pairs.groupBy("a", "b").agg(F.count("*").alias("shared"), median(log).alias("log_ratio"), median(F.col("x")).alias("mid"))
+    low, high = F.col("x") < F.col("mid"), F.col("x") >= F.col("mid")
+    halves = pairs.join(middle, ["a", "b"]).groupBy("a", "b", "shared", "log_ratio").agg(
+        median(F.abs(log - F.col("log_ratio"))).alias("scatter"),
+        *[median(F.when(half, F.col(c))).alias(f"{c}_{name}") for name, half in (("low", low), ("high", high)) for c in "xy"],
     )
-    return rest.select("a", "b", "shared", F.pow(F.lit(10.0), F.col("log_ratio")).alias("ratio"), "scatter", "offset")
+    sloped = halves.withColumn("slope", (F.col("y_high") - F.col("y_low")) / F.nullif(F.col("x_high") - F.col("x_low"), F.lit(0.0)))
+    bent = sloped.where((F.col("shared") >= 2 * LEAST_SHARED) & (F.coalesce("scatter", F.lit(9.0)) > SCATTER / 10) & (F.col("slope") != 0)).select("a", "b", "slope")
+    off = keep(pairs.join(bent, ["a", "b"]), "bent")
+    line = off.groupBy("a", "b", "slope").agg(median(F.col("y") - F.col("slope") * F.col("x")).alias("offset"))
+    for _ in range(TRIMMED):
+        rest = off.drop("slope").join(line, ["a", "b"]).withColumn("rest", F.abs(F.col("y") - F.col("slope") * F.col("x") - F.col("offset")))
+        near = rest.groupBy("a", "b").agg((3 * median(F.col("rest")) + 1e-9).alias("near"))
+        line = keep(rest.join(near, ["a", "b"]).where("rest <= near").groupBy("a", "b").agg(F.regr_slope("y", "x").alias("slope"), F.regr_intercept("y", "x").alias("offset")), "lines")
+    left = off.drop("slope").join(line, ["a", "b"])
+    line = left.groupBy("a", "b", "slope", "offset").agg(median(F.abs((F.col("y") - F.col("slope") * F.col("x") - F.col("offset")) / F.col("y")) / 2.302585).alias("line_scatter")).where(F.col("line_scatter") <= SCATTER)
+    both = sloped.drop("slope").join(line, ["a", "b"], "left")
+    straight = F.col("slope").isNull() | (F.col("scatter") <= 4 * F.col("line_scatter"))
+    return both.where("slope is not null or log_ratio is not null").select("a", "b", "shared", F.when(straight, F.pow(F.lit(10.0), F.col("log_ratio"))).otherwise(F.col("slope")).alias("ratio"), F.when(straight, 0.0).otherwise(F.col("offset")).alias("offset"), F.when(straight, F.col("scatter")).otherwise(F.col("line_scatter")).alias("scatter"))
 
 
 def snap(ratio):
@@ -89,34 +130,58 @@ def lexicon(notations: DataFrame) -> DataFrame:
     return whole.select("notation", F.coalesce(unit["unit"], F.lit("count")).alias("unit"), (F.coalesce(unit["factor"], F.lit(1.0)) * scale).alias("factor"), "known")
 
 
+#: Joins a notation and the source that uses it.
+_AT = "\u0001"
+
+
 def resolve_notations(readings: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """``(notation, unit, factor, how)`` of every notation, and the links between them.
-
-    Notations whose words are all known state their unit (``stated``).  The
-    others get it through the graph: a tight link to a resolved notation
-    gives the ratio, which is snapped to a known conversion; the best
-    supported link wins, and rounds of this carry it on (``linked``) until
-    one adds nothing.  What
-    remains is read as far as its known words go (``assumed``).
+    """``(notation, source, unit, factor, shift, how)`` of every notation, and the links between them.
+
+    A reading is worth ``factor * number + shift`` in ``unit``.  Notations
+    whose words are all known mean the same in every source (``source`` null)
+    and state their unit; the graph then says whether what they are worth
+    beside others bears that out: ``confirmed`` or ``contested`` by most
+    of their tight links, else just ``stated``.  The text decides all the same.
+
+    Others are resolved by the graph alone, source by source, for two sources
+    may mean different things by one word, and for all sources together.  A
+    tight link to a resolved node gives the ratio, which is snapped to a known
+    conversion, and the offset; the best supported link wins, and rounds of
+    this carry it on (``linked``) until one adds nothing.  What remains is
+    read as far as its known words go (``assumed``).
     """
     notations = keep(lexicon(readings.select("notation").distinct()), "notations")
-    links = keep(notation_links(readings), "links")
-    solved = notations.where("known").select("notation", "unit", "factor", F.lit("stated").alias("how"))
+    known = notations.where("known")
     open_ = notations.where("not known")
-    tight = links.where((F.col("scatter") <= SCATTER) & (F.col("shared") >= LEAST_SHARED))
-    ways = tight.select("a", "b", "ratio", "shared").unionByName(tight.select(F.col("b").alias("a"), F.col("a").alias("b"), (1 / F.col("ratio")).alias("ratio"), "shared"))
-    while True:  # each round solves another notation, or is the last
-        todo = open_.join(solved, "notation", "left_anti")
-        if todo.isEmpty():
-            break
-        reach = ways.join(todo.select(F.col("notation").alias("a")), "a").join(solved.select(F.col("notation").alias("b"), "unit", "factor"), "b")
-        reach = reach.withColumn("step", snap(F.col("ratio"))).where("step is not null").groupBy("a").agg(F.max(F.struct("shared", "unit", (F.col("step") * F.col("factor")).alias("factor"))).alias("r"))
-        fresh = keep(reach.select(F.col("a").alias("notation"), "r.unit", "r.factor", F.lit("linked").alias("how")), "linked")
+    unknown = readings.join(open_.select("notation"), "notation", "left_semi")
+    of_source = unknown.where("source is not null").withColumn("notation", F.concat_ws(_AT, "notation", F.col("source").cast("string")))
+    links = keep(notation_links(readings.unionByName(of_source)), "links")
+    tight = links.where((F.col("scatter") <= SCATTER) & (F.col("shared") >= LEAST_SHARED) & (F.col("ratio") > 0))
+    ways = tight.select("a", "b", "ratio", "offset", "shared").unionByName(tight.select(F.col("b").alias("a"), F.col("a").alias("b"), (1 / F.col("ratio")).alias("ratio"), (-F.col("offset") / F.col("ratio")).alias("offset"), "shared"))
+    ways = keep(ways.withColumn("step", snap(F.col("ratio"))).where("step is not null"), "ways")
+
+    def reached(solved: DataFrame) -> DataFrame:
+        """What the links say of their first end, by what is resolved of the second."""
+        return ways.join(solved.select(F.col("notation").alias("b"), "unit", "factor", "shift"), "b").select(F.col("a").alias("notation"), "shared", "unit", (F.col("step") * F.col("factor")).alias("factor"), (F.col("factor") * F.col("offset") + F.col("shift")).alias("shift"))
+
+    stated = known.select("notation", "unit", "factor", F.lit(0.0).alias("shift"))
+    votes = reached(stated).withColumnsRenamed({"unit": "u", "factor": "f"}).join(stated, "notation")
+    same = (F.col("u") == F.col("unit")) & (F.abs(F.log10(F.col("f") / F.col("factor"))) < SCATTER)
+    tally = votes.groupBy("notation").agg(F.sum(F.when(same, F.col("shared")).otherwise(-F.col("shared"))).alias("for"))
+    solved = stated.join(tally, "notation", "left").select("notation", "unit", "factor", "shift", F.when(F.col("for") > 0, "confirmed").when(F.col("for") < 0, "contested").otherwise("stated").alias("how"))
+    nodes = keep(open_.select("notation").unionByName(of_source.select("notation").distinct()), "nodes")
+    fresh = stated
+    while not nodes.isEmpty():  # each round solves another node, or is the last
+        found = reached(fresh).join(nodes, "notation", "left_semi").groupBy("notation").agg(F.max(F.struct("shared", "unit", "factor", "shift")).alias("r"))
+        fresh = keep(found.select("notation", "r.unit", "r.factor", "r.shift", F.lit("linked").alias("how")), "linked")
         if fresh.isEmpty():
             break
         solved = solved.unionByName(fresh)
-    rest = open_.join(solved, "notation", "left_anti").select("notation", "unit", "factor", F.lit("assumed").alias("how"))
-    return solved.unionByName(rest), links
+        nodes = keep(nodes.join(fresh, "notation", "left_anti"), "nodes")
+    rest = open_.join(solved, "notation", "left_anti").select("notation", "unit", "factor", F.lit(0.0).alias("shift"), F.lit("assumed").alias("how"))
+    at = F.split("notation", _AT)
+    whole = solved.unionByName(rest).select(at[0].alias("notation"), F.get(at, F.lit(1)).cast("long").alias("source"), "unit", "factor", "shift", "how")
+    return whole, links.where(~F.col("a").contains(_AT) & ~F.col("b").contains(_AT))
 
 
 def common_units(claim: DataFrame) -> DataFrame:
@@ -132,6 +197,9 @@ def common_units(claim: DataFrame) -> DataFrame:
     """
     readings = keep(read_quantities(claim), "readings")
     notations, _ = resolve_notations(readings)
-    value = F.round(F.col("number") * F.col("factor"))
+    of_all = notations.where("source is null").drop("source", "how")
+    of_one = notations.where("source is not null").select("notation", "source", *[F.col(c).alias(f"own_{c}") for c in ("unit", "factor", "shift")])
+    met = readings.join(of_all, "notation").join(of_one, ["notation", "source"], "left")
+    value = F.round(F.col("number") * F.coalesce("own_factor", "factor") + F.coalesce("own_shift", "shift"))
     fits = F.abs(value) < 9.2e18
-    return readings.join(notations, "notation").select("claim_id", F.col("unit").alias("base_unit"), F.when(fits, value).cast("bigint").alias("base_value"))
+    return met.select("claim_id", F.coalesce("own_unit", "unit").alias("base_unit"), F.when(fits, value).cast("bigint").alias("base_value"))

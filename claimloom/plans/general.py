@@ -20,7 +20,7 @@ def _p1_notations(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def _p1_scales(spark: SparkSession, folder: str) -> DataFrame:
-    """Pairs of notations that record the same subjects, with their ratio and offset."""
+    """Pairs of notations that record the same subjects, with their ratio, offset and scatter."""
     links = resolve_notations(keep(read_quantities(table(spark, folder, "claim")), "readings"))[1]
     return links.select("a", "b", "shared", *[F.round(c, 6).alias(c) for c in ("ratio", "scatter", "offset")])
 
