@@ -33,13 +33,14 @@ def _subject(claim: DataFrame) -> DataFrame:
     measure and the period; null where one is missing or the entity is only
     "the company".
     """
-    # Periods repeat a few wordings over and over.
-    worded = claim.select("period_raw").where("period_raw is not null").distinct()
-    period = worded.select("period_raw", parse_period(F.col("period_raw")).alias("p")).where("p is not null")
-    entity = F.when(~is_self_reference(F.col("entity_raw")), F.nullif(canonical_form(F.col("entity_raw")), F.lit("")))
-    measure = content_key(split_qualifiers(F.col("measure_raw"))["name"])
-    rows = claim.select("claim_id", "period_raw", entity.alias("entity"), measure.alias("measure")).where("entity is not null and size(measure) > 0")
-    return rows.join(period, "period_raw").select("claim_id", F.xxhash64("entity", "measure", "p.start", "p.end").alias("subject"))
+    # Wordings repeat: each is read once. No filter on what is computed here: it would be pushed down and compute all of it twice.
+    read = lambda column, how, name: claim.select(column).where(f"{column} is not null").distinct().select(column, how(F.col(column)).alias(name))
+    entity = read("entity_raw", lambda c: F.when(~is_self_reference(c), F.nullif(canonical_form(c), F.lit(""))), "entity")
+    measure = read("measure_raw", lambda c: content_key(split_qualifiers(c)["name"]), "measure")
+    rows = claim.select("claim_id", "entity_raw", "measure_raw", "period_raw").where("entity_raw is not null and measure_raw is not null and period_raw is not null")
+    rows = rows.join(read("period_raw", parse_period, "p"), "period_raw").join(measure, "measure_raw").join(entity, "entity_raw")
+    told = F.col("entity").isNotNull() & (F.size("measure") > 0) & F.col("p").isNotNull()
+    return rows.select("claim_id", F.when(told, F.xxhash64("entity", "measure", "p.start", "p.end")).alias("subject"))
 
 
 def read_quantities(claim: DataFrame) -> DataFrame:
