@@ -10,6 +10,8 @@ from claimloom.functions.binding import let, squeeze
 from claimloom.functions.labels import canonical_form, content_key, resolved_name, split_qualifiers
 from claimloom.functions.period import parse_period
 from claimloom.functions.quantity import parse_quantity
+from claimloom.operators.resolve import resolve_entities, resolve_measures
+from claimloom.session import keep
 
 
 def vintage_date(raw: Column) -> Column:
@@ -45,18 +47,48 @@ def frame_claims(claim: DataFrame, witness: DataFrame) -> DataFrame:
         "unit_raw",
         "period_raw",
         "confidence",
+        F.col("m.name").alias("measure_name"),
+        resolved_name(F.col("entity_raw"), F.col("publisher")).alias("entity_name"),
         F.col("q.value").alias("value"),
         F.when(F.col("q").isNull(), F.nullif(F.trim("value_raw"), F.lit(""))).alias("value_text"),
         F.col("q.dimension").alias("unit_dim"),
         F.col("q.scale").alias("unit_scale"),
         "period",
         basis_tokens(F.col("basis_raw"), quals).alias("basis"),
-        F.nullif(canonical_form(resolved_name(F.col("entity_raw"), F.col("publisher"))), F.lit("")).alias("entity_key"),
-        F.nullif(F.array_join(content_key(F.col("m.name")), " "), F.lit("")).alias("measure_key"),
     )
+    return keyed(named.withColumn("entity_key", entity_key(F.col("entity_name"))).withColumn("measure_key", measure_key(F.col("measure_name"))))
+
+
+def entity_key(name: Column) -> Column:
+    return F.nullif(canonical_form(name), F.lit(""))
+
+
+def measure_key(name: Column) -> Column:
+    return F.nullif(F.array_join(content_key(name), " "), F.lit(""))
+
+
+def keyed(named: DataFrame) -> DataFrame:
+    """The claims with ``lemma_key`` and ``frame_key`` of their entity and measure keys."""
     return named.withColumn("lemma_key", lemma_key(F.col("entity_key"), F.col("measure_key"))).withColumn("frame_key", frame_key(F.col("entity_key"), F.col("measure_key"), F.col("period"), F.col("basis"), F.col("unit_dim")))
 
 
+def resolve_frames(framed: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Frames whose names are resolved against all others, and the measures they lead to (``measure_key, wording``).
+
+    Entities of nearly one spelling and measures of nearly one meaning share
+    the key of the first of them, in order of witness and claim; the lemma
+    and frame keys follow.  Names that key nothing stay without a key.
+    """
+    entities = resolve_entities(framed, "entity_name", ["witness_id", "claim_id"])
+    measures = resolve_measures(framed, "measure_name", ["witness_id", "claim_id"])
+    entity = entities.select(F.col("phrase").alias("_e"), entity_key(F.col("entity")).alias("_entity"))
+    measure = keep(measures.select(F.col("phrase").alias("_m"), measure_key(F.col("measure")).alias("_measure"), F.col("measure").alias("wording")), "measures")
+    met = framed.withColumn("_e", F.lower("entity_name")).withColumn("_m", F.lower("measure_name")).join(entity, "_e", "left").join(measure.drop("wording"), "_m", "left")
+    named = met.withColumn("entity_key", F.coalesce("_entity", "entity_key")).withColumn("measure_key", F.coalesce("_measure", "measure_key")).drop("_e", "_m", "_entity", "_measure")
+    leading = measure.where("_measure is not null").groupBy(F.col("_measure").alias("measure_key")).agg(F.min("wording").alias("wording"))
+    return keyed(named).select(framed.columns), leading
+
+
 def lemma_key(entity: Column, measure: Column) -> Column:
     return F.when(entity.isNotNull() & measure.isNotNull(), F.concat(entity, F.lit(":"), measure))
 

@@ -66,7 +66,7 @@ def delete_witnesses(tables: dict[str, DataFrame], gone: DataFrame) -> dict[str,
             if name in tables:
                 for key in keys:
                     out[name] = out[name].join(kept.withColumnRenamed("claim_id", key), key, "left_semi")
-        if "passage" in out:
+        if "passage" in out and "passage_id" in out["passage"].columns:
             there = out["passage"].select("passage_id").distinct().withColumn("_kept", F.lit(True))
             out["claim"] = out["claim"].join(there, "passage_id", "left").withColumn("passage_id", F.when(F.col("_kept"), F.col("passage_id"))).drop("_kept")
     if "measure" in tables:

@@ -103,6 +103,48 @@ def front_matter_text(pages: DataFrame) -> DataFrame:
     return head.join(tail, "witness_id", "full")
 
 
+class Describer(Protocol):
+    """The beginnings of a document's first and last pages to a dict with any of ``title, publisher, vintage_raw, default_currency``."""
+
+    def describe(self, head: str, tail: str) -> dict: ...
+
+
+class HeadDescriber:
+    """Reads what a document says of itself on lines of its own: "Publisher: ...", "Published: ...", a date, amounts "in Rs crore"."""
+
+    # Marks of the currency in which amounts are stated.
+    currencies = [("INR", r"₹|\b(?:rs|inr|rupees)\b"), ("USD", r"us\s?\$|\busd\b|\$"), ("EUR", r"€|\beur\b"), ("GBP", r"£|\bgbp\b")]
+
+    def describe(self, head: str, tail: str) -> dict:
+        out = {}
+        for field, words in (("title", "title"), ("publisher", "publisher|published by|issued by"), ("vintage_raw", "published|published on|date|dated")):
+            if said := re.search(rf"(?im)^\s*(?:{words})\s*[:\-]\s*(\S[^\n]{{0,200}}?)\s*$", head + "\n" + tail):
+                out[field] = said[1]
+        if "vintage_raw" not in out and (date := re.search(r"(?m)^\s*(\d{4}-\d{2}-\d{2})\s*$", head)):
+            out["vintage_raw"] = date[1]
+        if scope := re.search(r"(?i)\((?:amounts?\s+|figures\s+)?(?:all\s+)?(?:in\s+)?([^)\n]{0,24}(?:crore|lakh|million|billion|thousand|mn|bn|cr)s?)\)", head):
+            out["default_currency"] = next((code for code, mark in self.currencies if re.search(mark, scope[1].lower())), None)
+        return out
+
+
+def describe_witnesses(front: DataFrame, describer: Describer) -> DataFrame:
+    """``witness_id, title, publisher, vintage_raw, default_currency`` of front matter ``witness_id, head, tail``; a failure leaves them null."""
+    fields = ["title", "publisher", "vintage_raw", "default_currency"]
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            rows = []
+            for witness, head, tail in zip(batch["witness_id"], batch["head"], batch["tail"]):
+                try:
+                    said = describer.describe(head or "", tail or "")
+                except Exception:  # noqa: BLE001
+                    said = {}
+                rows.append((witness, *[said.get(f) for f in fields]))
+            yield pd.DataFrame(rows, columns=["witness_id", *fields]).astype(dict.fromkeys(fields, object))
+
+    return front.mapInPandas(run, "witness_id long, " + ", ".join(f"{f} string" for f in fields))
+
+
 class Adviser(Protocol):
     """A second opinion on a verdict: a dict with ``relationship, reason_code, explanation, sufficient_context``."""
 

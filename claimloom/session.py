@@ -37,10 +37,16 @@ def build_session(app: str = "claimloom", master: str | None = None, shuffle_par
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder named by ``spark.checkpoint.dir``; only where that is unset (tests) a temporary one."""
+    """The folder named by ``spark.checkpoint.dir``; only on a local master (tests), where that is unset, a temporary one.
+
+    On a cluster a folder of one machine would lose what others write, so
+    without the setting this raises.
+    """
     folder = spark.sparkContext.getConf().get("spark.checkpoint.dir", None) or spark.conf.get("spark.checkpoint.dir", None)
     if folder:
         return folder.rstrip("/")
+    if not (spark.sparkContext.master or "").startswith("local"):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
     folder = tempfile.mkdtemp(prefix="claimloom-")
     atexit.register(shutil.rmtree, folder, True)
     spark.conf.set("spark.checkpoint.dir", f"file://{folder}")

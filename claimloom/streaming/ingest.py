@@ -20,20 +20,22 @@ VERDICT = "lemma_key string, claim_a bigint, claim_b bigint, verdict string, rul
 def add_claims(batch: DataFrame, witness: DataFrame, out: str) -> None:
     """Frame the claims of a batch that are new and rule on the lemmas they touch.
 
-    Running a batch again changes nothing: claims that are stored already and
-    pairs that have a verdict are left alone.
+    Running a batch again, after success or a failure at any step, gives the
+    same tables: claims that are stored already and pairs that have a verdict
+    are left alone, and the lemmas of the whole batch are ruled on.
     """
     spark = batch.sparkSession
-    framed = frame_claims(batch, witness)
+    framed = keep(frame_claims(batch, witness), "batch")
     stored = read_or_empty(spark, out, "framed", framed._jdf.schema().toDDL())
     # A kept table: a cached one would be computed again, and be empty, once its rows are appended below.
     fresh = keep(insert_or_ignore(stored, framed, ["claim_id"], [F.col("claim_id")]), "fresh")
     append(fresh, out, "framed")
-    touched = fresh.where("lemma_key is not null").select("lemma_key").distinct()
+    # By the whole batch: an earlier try may have stored its claims and stopped before their verdicts.
+    touched = framed.where("lemma_key is not null").select("lemma_key").distinct()
     both = read_or_empty(spark, out, "framed", framed._jdf.schema().toDDL()).join(touched, "lemma_key", "left_semi")
     ruled = adjudicate(capped_lemma_pairs(both))
     append(insert_or_ignore(read_or_empty(spark, out, "verdict", VERDICT), ruled, ["claim_a", "claim_b"], [F.col("rule_id")]), out, "verdict")
-    forget(fresh)
+    forget(fresh, framed)
 
 
 def claim_stream(spark: SparkSession, folder: str, schema: str) -> DataFrame:

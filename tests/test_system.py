@@ -50,6 +50,93 @@ def test_commands(spark, tmp_path, capsys):
     assert table(spark, out, "claim").count() == 0
 
 
+def test_two_ingests_and_two_notations(spark, tmp_path, monkeypatch):
+    """Two files by two ingests: claims keep numbers of their own, one figure in two notations and two related measures are told."""
+    (tmp_path / "in").mkdir()
+    out = f"file://{tmp_path}/out"
+    first = "Annual report\n\nPublisher: Acme Limited\n\nPublished: 2024-05-17\n\n(Rs in crore)\n\n"
+    (tmp_path / "in" / "a.txt").write_text(first + "Total income of the Company stood at 8,142 Rs Cr for FY24.\n\nRevenue from express freight services of Acme Limited was 500 Rs Cr for FY24.")
+    assert cli.main(["ingest", out, f"file://{tmp_path}/in"], spark) == 0
+    (tmp_path / "in" / "b.txt").write_text("Total income of Acme Ltd reached 81,420 INR million for FY24.\n\nRevenue from freight of Acme Ltd was 470 Rs Cr for FY24.")
+    assert cli.main(["ingest", out, f"file://{tmp_path}/in"], spark) == 0
+    claims = table(spark, out, "claim").collect()
+    assert sorted(r["claim_id"] for r in claims) == [1, 2, 3, 4]
+    about = {r["filename"]: r for r in table(spark, out, "witness").collect()}
+    assert (about["a.txt"]["publisher"], about["a.txt"]["vintage_raw"], about["a.txt"]["default_currency"], about["b.txt"]["title"]) == ("Acme Limited", "2024-05-17", "INR", "b")
+    assert table(spark, out, "anchor").where("x1 > x0 and char_end > char_start").count() == 4
+    (tmp_path / "agreeing.py").write_text("class Agrees:\n    def note(self, verdict, explanation):\n        return {'relationship': verdict}\n")
+    monkeypatch.syspath_prepend(str(tmp_path))
+    spark.sparkContext.addPyFile(str(tmp_path / "agreeing.py"))
+    for command in (["adjudicate", out, "--adviser", "agreeing:Agrees"], ["quarantine", out], ["frame", out], ["export", out, f"{out}/top.json"]):
+        assert cli.main(command, spark) == 0
+    verdicts = {(r["claim_a"], r["claim_b"]): r["rule_id"] for r in table(spark, out, "verdict").collect()}
+    framed = {r["claim_id"]: r["lemma_key"] for r in table(spark, out, "framed").collect()}
+    name = {r["claim_id"]: (r["witness_id"], r["measure_raw"]) for r in claims}
+    income = tuple(sorted(c for c, (_, m) in name.items() if m == "Total income"))
+    freight = tuple(sorted(c for c, (_, m) in name.items() if "freight" in m))
+    assert verdicts[income] == "UNIT_SCALE" and framed[income[0]] == framed[income[1]]
+    assert verdicts[freight] == "DEFINITION_DRIFT", (verdicts, framed)
+    assert table(spark, out, "note").columns == ["verdict_id", "note", "agrees"] and spark.read.json(f"{out}/top.json").count() == len(verdicts)
+
+
+def test_an_ingest_that_stops_is_made_good(spark, tmp_path, monkeypatch):
+    """A crash after the witness, and one after every other table: the next run gives what one whole run gives."""
+    documents(tmp_path / "in")
+    whole, broken = f"file://{tmp_path}/whole", f"file://{tmp_path}/broken"
+    assert cli.main(["ingest", whole, f"file://{tmp_path}/in"], spark) == 0
+    append = sinks.append
+    for allowed in (1, 5):
+        written = []
+
+        def stop(rows, folder, name):
+            if len(written) == allowed:
+                raise OSError("lost")
+            written.append(name)
+            append(rows, folder, name)
+
+        monkeypatch.setattr(sinks, "append", stop)
+        with pytest.raises(OSError):
+            cli.main(["ingest", broken, f"file://{tmp_path}/in"], spark)
+    monkeypatch.setattr(sinks, "append", append)
+    assert cli.main(["ingest", broken, f"file://{tmp_path}/in"], spark) == 0
+    for name in cli.FILED:
+        rows = [sorted(map(str, table(spark, folder, name).collect())) for folder in (whole, broken)]
+        assert rows[0] == rows[1], name
+    assert {r["status"] for r in table(spark, broken, "witness").collect()} == {"elicited"}
+
+
+def test_a_batch_is_replayed_after_a_failure(spark, data, tmp_path, monkeypatch):
+    """A failure between the two tables, then the batch again: all verdicts are there."""
+    claims, witness, out = table(spark, data, "claim"), table(spark, data, "witness"), f"file://{tmp_path}/out"
+    append = ingest.append
+
+    def stop(rows, folder, name):
+        if name == "verdict":
+            raise OSError("lost")
+        append(rows, folder, name)
+
+    monkeypatch.setattr(ingest, "append", stop)
+    with pytest.raises(OSError):
+        ingest.add_claims(claims, witness, out)
+    monkeypatch.setattr(ingest, "append", append)
+    for _ in range(2):
+        ingest.add_claims(claims, witness, out)
+        assert table(spark, out, "verdict").count() == catalogue.QUERIES["lemma_pairs"](spark, data).count() > 0
+        assert table(spark, out, "framed").count() == claims.select("claim_id").distinct().count()
+
+
+def test_no_machine_local_folder_on_a_cluster():
+    from types import SimpleNamespace
+
+    from claimloom.session import shared_folder
+
+    unset = SimpleNamespace(get=lambda *a: None)
+    for master in ("spark://host:7077", "yarn", None):
+        fake = SimpleNamespace(sparkContext=SimpleNamespace(getConf=lambda: unset, master=master), conf=unset)
+        with pytest.raises(RuntimeError):
+            shared_folder(fake)
+
+
 def test_files(spark, tmp_path):
     documents(tmp_path / "in")
     files = scan_files(spark, f"file://{tmp_path}/in", "*.txt")
