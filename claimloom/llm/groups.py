@@ -52,8 +52,10 @@ def group_pairs(pairs: DataFrame, left: str, right: str, member: str = "member",
     final = mappings[-1]
     for earlier in reversed(mappings[:-1]):
         onward = final.select(F.col("x").alias("rep"), F.col("rep").alias("next"))
-        final = earlier.join(onward, "rep", "left").select("x", F.coalesce("next", "rep").alias("rep"))
-    final = keep(final, "labels")
+        # Each step is kept, so that the plan does not grow with the rounds.
+        expanded = keep(earlier.join(onward, "rep", "left").select("x", F.coalesce("next", "rep").alias("rep")), "labels")
+        forget(final, earlier)
+        final = expanded
     smallest = final.groupBy("rep").agg(F.min("x").alias("least"))
     return final.join(smallest, "rep").select(F.col("x").alias(member), F.col("least").alias(group))
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -17,7 +18,7 @@ from claimloom.session import keep
 SAMPLE = 20_000
 #: Vectors a centre stands for on average, and the most that one graph or one batch of queries holds.
 PER_CENTRE, MOST = 4_000, 8_000
-#: Most centres: the table of centres that every task gets stays under 4,096 vectors.
+#: Most centres of the table that every task gets; where more are needed, these are coarse and each has fine ones of its own.
 MOST_CENTRES = 4_096
 #: Centres nearest to a vector under which it is indexed, and whose graphs it searches.
 HOMES, ROUTES = 2, 3
@@ -66,8 +67,9 @@ def similar_vectors(items: DataFrame, key: str, vector: str, k: int = 10, degree
     so no group is ever gathered.  The nodes are spread over shards: each
     goes to the graphs of its ``HOMES`` nearest centres, a centre with many
     nodes is split into graphs of at most about ``MOST``, and each node
-    searches all graphs of its ``ROUTES`` nearest centres, so the work grows
-    with the number of vectors.  The search is approximate: its recall is
+    searches all graphs of its ``ROUTES`` nearest centres.  There is a centre
+    for every ``PER_CENTRE`` nodes, in two levels where they are many, so the
+    work grows with the number of vectors.  The search is approximate: its recall is
     measured in the tests and given in the README.
     """
     rows = keep(_usable(items, key, vector), "vectors")
@@ -99,9 +101,11 @@ def _search(nodes: DataFrame, k: int, degree: int, beam: int) -> DataFrame:
     sample = nodes.select("v").orderBy(F.xxhash64("node")).limit(SAMPLE).toPandas()["v"]
     sample = np.stack([np.asarray(v, np.float64) for v in sample])
     sample = (sample / np.linalg.norm(sample, axis=1, keepdims=True)).astype(np.float32)
-    centres = fit_centres(sample, max(1, min(MOST_CENTRES, -(-count // PER_CENTRE))))
+    wanted = max(1, -(-count // PER_CENTRE))
+    deep = wanted > MOST_CENTRES
+    centres = fit_centres(sample, min(MOST_CENTRES, math.isqrt(wanted) + 1) if deep else wanted)
     shared = spark.sparkContext.broadcast(centres)  # at most MOST_CENTRES vectors
-    routes, homes = min(ROUTES, len(centres)), min(HOMES, len(centres))
+    routes, homes = min(ROUTES, len(centres)), HOMES
 
     def place(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
@@ -112,11 +116,12 @@ def _search(nodes: DataFrame, k: int, degree: int, beam: int) -> DataFrame:
                 yield pd.DataFrame({"node": batch["node"], "v": [x.tobytes() for x in v], "centres": list(near.astype(np.int32))})
 
     placed = keep(nodes.select("node", "v").mapInPandas(place, "node long, v binary, centres array<int>"), "placed")
+    if deep:
+        placed = keep(_fine(placed, dim), "placed")
     visits = placed.select("node", "v", F.posexplode("centres").alias("nth", "centre"))
     loads = visits.groupBy("centre").agg(F.count("*").alias("queries"), F.sum((F.col("nth") < homes).cast("long")).alias("held"))
-    # One row a centre, so at most MOST_CENTRES rows.
     parts = keep(loads.select("centre", F.ceil(F.greatest(F.col("held"), F.lit(1)) / MOST).cast("int").alias("graphs"), F.ceil(F.col("queries") / MOST).cast("int").alias("batches")), "parts")
-    visits = visits.join(F.broadcast(parts), "centre")
+    visits = visits.join(parts, "centre")
     held = visits.where(F.col("nth") < homes).select("centre", F.pmod(F.xxhash64("node"), F.col("graphs")).cast("int").alias("graph"), "node", "v")
 
     def build(group: pd.DataFrame) -> pd.DataFrame:
@@ -130,7 +135,7 @@ def _search(nodes: DataFrame, k: int, degree: int, beam: int) -> DataFrame:
 
     # Queries meet each graph of a centre in batches of about MOST.
     asked = visits.select("centre", F.pmod(F.xxhash64(F.lit(1), "node"), F.col("batches")).cast("int").alias("batch"), F.explode(F.sequence(F.lit(0), F.col("graphs") - 1)).alias("graph"), "node", "v")
-    offered = index.join(F.broadcast(parts), "centre").select("centre", F.explode(F.sequence(F.lit(0), F.col("batches") - 1)).alias("batch"), "graph", "ids", "vectors", "edges", "entries")
+    offered = index.join(parts, "centre").select("centre", F.explode(F.sequence(F.lit(0), F.col("batches") - 1)).alias("batch"), "graph", "ids", "vectors", "edges", "entries")
 
     def ask(queries: pd.DataFrame, graphs: pd.DataFrame) -> pd.DataFrame:
         none = pd.DataFrame({"node": pd.Series(dtype="int64"), "other_node": pd.Series(dtype="int64"), "cosine": pd.Series(dtype="float32")})
@@ -153,6 +158,46 @@ def _search(nodes: DataFrame, k: int, degree: int, beam: int) -> DataFrame:
     return once.withColumn("nth", F.row_number().over(W.partitionBy("node").orderBy(F.desc("cosine"), "other_node"))).where(F.col("nth") <= k).drop("nth")
 
 
+def _fine(placed: DataFrame, dim: int) -> DataFrame:
+    """``node, v, centres`` with the ``ROUTES`` nearest fine centres of all coarse ones that a node goes to.
+
+    The fine centres of a coarse one are fitted on a sample of at most about
+    ``SAMPLE`` of the nodes nearest to it, one for every ``PER_CENTRE``; they
+    stay in a table and meet the nodes in batches.
+    """
+    nearest_to = placed.select("node", "v", F.col("centres")[0].alias("coarse"))
+    sizes = keep(nearest_to.groupBy("coarse").agg(F.count("*").alias("n")), "cells")
+    few = nearest_to.join(sizes, "coarse").where(F.pmod(F.xxhash64(F.lit(2), "node"), F.lit(1_000_000)) * F.col("n") < 1_000_000 * SAMPLE)
+
+    def fit(cell: pd.DataFrame) -> pd.DataFrame:
+        cell = cell.sort_values("node")
+        fitted = fit_centres(_unit(cell["v"], dim), max(1, -(-int(cell["n"].iloc[0]) // PER_CENTRE)))
+        return pd.DataFrame({"coarse": [cell["coarse"].iloc[0]], "count": [len(fitted)], "fine": [fitted.astype(np.float32).tobytes()]})
+
+    fine = keep(few.groupBy("coarse").applyInPandas(fit, "coarse int, count int, fine binary"), "fine")
+    # Numbers of the fine centres: those of the coarse ones before come first. One row a coarse centre.
+    first = F.coalesce(F.sum("count").over(W.orderBy("coarse").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)).cast("int")
+    fine = keep(fine.withColumn("first", first), "fine")
+    visits = placed.select("node", "v", F.explode("centres").alias("coarse"))
+    loads = visits.groupBy("coarse").agg(F.ceil(F.count("*") / MOST).cast("int").alias("batches"))
+    asked = visits.join(loads, "coarse").select("coarse", F.pmod(F.xxhash64("node"), F.col("batches")).cast("int").alias("batch"), "node", "v")
+    offered = fine.join(loads, "coarse").select("coarse", F.explode(F.sequence(F.lit(0), F.col("batches") - 1)).alias("batch"), "first", "fine")
+
+    def route(queries: pd.DataFrame, cell: pd.DataFrame) -> pd.DataFrame:
+        if not len(queries) or not len(cell):
+            return pd.DataFrame({"node": pd.Series(dtype="int64"), "centre": pd.Series(dtype="int32"), "cosine": pd.Series(dtype="float32")})
+        centres = np.frombuffer(cell["fine"].iloc[0], np.float32).reshape(-1, dim)
+        cosine = _unit(queries["v"], dim) @ centres.T
+        near = np.argsort(-cosine, axis=1, kind="stable")[:, :ROUTES]
+        node = np.repeat(queries["node"].to_numpy(np.int64), near.shape[1])
+        return pd.DataFrame({"node": node, "centre": (near.ravel() + cell["first"].iloc[0]).astype(np.int32), "cosine": np.take_along_axis(cosine, near, 1).ravel()})
+
+    met = asked.groupBy("coarse", "batch").cogroup(offered.groupBy("coarse", "batch")).applyInPandas(route, "node long, centre int, cosine float")
+    # A few of one node.
+    ranked = met.groupBy("node").agg(F.array_sort(F.collect_list(F.struct((-F.col("cosine")).alias("away"), "centre"))).alias("all"))
+    return placed.select("node", "v").join(ranked.select("node", F.transform(F.slice("all", 1, ROUTES), lambda c: c["centre"]).alias("centres")), "node")
+
+
 def similar_pairs(items: DataFrame, key: str, vector: str, k: int = 10, least: float = 0.90, names: tuple[str, str] = ("a", "b")) -> DataFrame:
     """Each pair, the smaller id first, of which one is among the other's ``k`` most similar and whose cosine is at least ``least``."""
     close = similar_vectors(items, key, vector, k).where(F.col("cosine") >= F.lit(least) - 1e-6)

@@ -233,8 +233,10 @@ def test_graph_recall(clusters):
     assert np.allclose(cosine[:, 0], 1, atol=1e-5) and (graph >= -1).all() and graph.shape[1] <= 32
 
 
-def test_sharded_recall(spark, monkeypatch):
-    """Many centres and split graphs, as on large tables."""
+@pytest.mark.parametrize("most_centres", [4096, 5])
+def test_sharded_recall(spark, monkeypatch, most_centres):
+    """Many centres and split graphs, as on large tables; centres of one level and of two."""
+    monkeypatch.setattr(neighbours, "MOST_CENTRES", most_centres)
     monkeypatch.setattr(neighbours, "PER_CENTRE", 300)
     monkeypatch.setattr(neighbours, "MOST", 250)
     chance = np.random.default_rng(7)
