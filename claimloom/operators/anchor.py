@@ -9,26 +9,37 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from claimloom.functions.binding import let
+from claimloom.functions.binding import let, squeeze
 
 # Least score of a near match, shortest quote, longest payload kept.
 FLOOR, LEAST_CHARS, PAYLOAD = 88.0, 12, 4000
 
 
 def _candidates(quotes: DataFrame, pages: DataFrame) -> DataFrame:
-    """Quotes beside the pages of their passage; ``far`` is the distance from the page they name."""
-    asked = quotes.select("quote_id", "witness_id", "page_from", "page_to", "hint_page", F.trim(F.col("quote")).alias("quote")).where(F.length("quote") >= LEAST_CHARS)
-    offered = pages.select("witness_id", "page_no", "text").where(F.col("text").isNotNull())
-    near = asked.join(offered, "witness_id").where("page_no between page_from and page_to")
-    return near.withColumn("far", F.abs(F.col("page_no") - F.coalesce("hint_page", "page_from")))
+    """Quotes beside the pages of their passage (a few); ``far`` is the distance from the page they name, ``flat`` a page with single blanks."""
+    asked = quotes.select("quote_id", "witness_id", "page_from", "page_to", "hint_page", F.trim(F.col("quote")).alias("quote")).where((F.length("quote") >= LEAST_CHARS) & (F.col("page_from") <= F.col("page_to")))
+    each = asked.select("quote_id", "witness_id", F.explode(F.sequence("page_from", "page_to")).alias("page_no"), F.coalesce("hint_page", "page_from").alias("hint"), "quote")
+    offered = pages.select("witness_id", "page_no", "text").where(F.col("text").isNotNull()).withColumn("flat", squeeze(F.col("text")))
+    return each.join(offered, ["witness_id", "page_no"]).withColumn("far", F.abs(F.col("page_no") - F.col("hint")))
 
 
-def _spaced_pattern(quote: Column) -> Column:
-    """The words of a quote as a pattern that accepts any white space between them."""
-    words = F.filter(F.split(quote, r"(?U)\s+"), lambda w: w != "")
-    quoted = F.transform(words, lambda w: F.concat(F.lit(r"\Q"), F.replace(w, F.lit(r"\E"), F.lit(r"\E\\E\Q")), F.lit(r"\E")))
-    return F.concat(F.lit("(?U)"), F.array_join(quoted, r"\s+"))
+@F.pandas_udf(T.StructType([T.StructField("s", T.IntegerType()), T.StructField("e", T.IntegerType())]))
+def _loose_span(text: pd.Series, quote: pd.Series) -> pd.DataFrame:
+    """Start and end in ``text`` of the first part that differs from ``quote`` in white space only; null where an argument is, or without one.
+
+    Long quotes would exhaust the stack of a pattern.
+    """
+    rows = []
+    for hay, needle in zip(text, quote):
+        at = -1
+        if isinstance(hay, str) and isinstance(needle, str):
+            flat, back = _flat(hay)
+            tight = _flat(needle)[0]
+            at = flat.find(tight)
+        rows.append((back[at], back[at + len(tight) - 1] + 1) if at >= 0 else (None, None))
+    return pd.DataFrame(rows, columns=["s", "e"]).astype("Int32")
 
 
 def locate_exact(quotes: DataFrame, pages: DataFrame) -> DataFrame:
@@ -39,11 +50,11 @@ def locate_exact(quotes: DataFrame, pages: DataFrame) -> DataFrame:
     are too short or found nowhere give no row.  Repeated pages count once.
     """
     near = _candidates(quotes, pages)
-    found = near.withColumn("at", F.instr("text", F.col("quote"))).withColumn("pattern", F.when(F.col("at") == 0, _spaced_pattern(F.col("quote"))))
-    loose = F.when(F.col("at") == 0, F.regexp_instr("text", F.col("pattern")))
-    placed = found.withColumn("loose", loose).where("at > 0 or loose > 0")
-    start = F.when(F.col("at") > 0, F.col("at")).otherwise(F.col("loose")) - 1
-    size = F.when(F.col("at") > 0, F.length("quote")).otherwise(F.length(F.regexp_substr("text", F.col("pattern"))))
+    found = near.withColumn("at", F.instr("text", F.col("quote")))
+    loose = (F.col("at") == 0) & F.col("flat").contains(squeeze(F.col("quote")))
+    placed = found.withColumn("span", _loose_span(F.when(loose, F.col("text")), F.when(loose, F.col("quote")))).where("at > 0 or span.s is not null")
+    start = F.when(F.col("at") > 0, F.col("at") - 1).otherwise(F.col("span.s"))
+    size = F.when(F.col("at") > 0, F.length("quote")).otherwise(F.col("span.e") - F.col("span.s"))
     kind = F.when(F.col("at") > 0, "exact").otherwise("whitespace")
     spans = placed.select("quote_id", "page_no", "far", start.cast("int").alias("char_start"), (start + size).cast("int").alias("char_end"), kind.alias("match_kind"))
     best = W.partitionBy("quote_id").orderBy(F.col("match_kind") != "exact", "far", "page_no", "char_start")

@@ -86,7 +86,15 @@ def table_headers(spark: SparkSession, folder: str) -> DataFrame:
     return segment.table_headers(adapters.blocks(pages), pages)
 
 
-@query()
+@query(
+    rf"""with {_BLOCK}, mk as (select witness_id, page_no, pos, y1, {_FLAT.format(t="text")} as header from bl where kind = 'prose' and (regexp_matches(text, '{_MARK}') or regexp_matches(text, '{_BASIS}'))),
+    nr as (select t.witness_id, t.page_no, t.pos, m.header, row_number() over (partition by t.witness_id, t.page_no, t.pos order by t.y0 - m.y1, m.pos) as k
+      from bl t join p using (witness_id, page_no) join mk m on m.witness_id = t.witness_id and m.page_no = t.page_no and m.y1 <= t.y0 and t.y0 - m.y1 <= p.height / 3 where t.kind = 'table'),
+    th as (select witness_id, page_no, max_by(header, pos) as table_header from nr where k = 1 group by 1, 2),
+    pf as (select *, row_number() over (partition by witness_id, page_no order by pos) as nth from bl where kind = 'prose'),
+    ph as (select witness_id, page_no, min_by({_FLAT.format(t="text")}, nth) as prose_header from pf where nth <= 4 and regexp_matches(text, '{_MARK}') group by 1, 2)
+    select witness_id, page_no, coalesce(table_header, prose_header) as header from th full join ph using (witness_id, page_no) where coalesce(table_header, prose_header) is not null"""
+)
 def page_headers(spark: SparkSession, folder: str) -> DataFrame:
     pages = adapters.pages(spark, folder)
     return segment.page_headers(adapters.blocks(pages), pages).where("header is not null")
@@ -133,35 +141,42 @@ def passage_hashes(spark: SparkSession, folder: str) -> DataFrame:
     return table(spark, folder, "passage").where("text is not null").select("passage_id", segment.passage_hash(F.col("context_header"), F.col("text")).alias("digest"))
 
 
+_BLANKS = r"[\s\x{a0}\x{202f}\x{2009}\x{3000}\x{200a}\x{2002}\x{2003}\x{2028}]+"
 _QUOTE = (
     _PAGE
-    + r""", qt as (select page_id as quote_id, witness_id, page_no, case when page_no % 2 = 1 then replace(trim(substr(text, 31, 70)), ' ', '  ') else trim(substr(text, 31, 70)) end as quote from p where length(text) >= 150),
-    qu as (select quote_id, witness_id, page_no - 1 as lo, page_no + 1 as hi, trim(quote) as quote from qt where length(trim(quote)) >= 12),
-    nq as (select quote_id, p.page_no, abs(p.page_no - qu.hi) as far, strpos(p.text, quote) as spot, strpos(regexp_replace(p.text, '[\s\x{a0}\x{202f}\x{2009}\x{3000}\x{200a}\x{2002}\x{2003}\x{2028}]+', ' ', 'g'), regexp_replace(quote, '[\s\x{a0}\x{202f}\x{2009}\x{3000}\x{200a}\x{2002}\x{2003}\x{2028}]+', ' ', 'g')) as loose
-      from qu join p on p.witness_id = qu.witness_id and p.page_no between lo and hi where p.text is not null),
+    + rf""", c as (select distinct * from claim), st0 as (select page_id, witness_id, page_no, unnest(string_split(text, '. ')) as part, generate_subscripts(string_split(text, '. '), 1) - 1 as pos from p where text is not null),
+    qt as (select page_id * 100000 + pos as quote_id, witness_id, page_no - 1 as lo, page_no + 1 as hi, page_no + 1 as hint, case when page_no % 2 = 1 then replace(trim(part), ' ', '  ') else trim(part) end as quote,
+        'quantity' as claim_type, coalesce(nullif(regexp_extract(part, '([0-9][0-9,.]*[0-9])', 1), ''), '0') as value_raw from st0
+      union all select -claim_id, c.witness_id, page_start, page_end, page_no, quote, claim_type, value_raw from c join passage using (passage_id)),
+    qu as (select quote_id, witness_id, lo, hi, coalesce(hint, lo) as hint, trim(quote) as quote, trim(regexp_replace(quote, '{_BLANKS}', ' ', 'g')) as tight from qt where length(trim(quote)) >= 12),
+    fp as materialized (select witness_id, page_no, text, regexp_replace(text, '{_BLANKS}', ' ', 'g') as flat from p where text is not null),
+    nq as (select quote_id, fp.page_no, abs(fp.page_no - hint) as far, strpos(fp.text, quote) as spot, strpos(flat, tight) as loose from qu join fp on fp.witness_id = qu.witness_id and fp.page_no between lo and hi),
     an as (select *, row_number() over (partition by quote_id order by spot = 0, far, page_no) as k from nq where spot > 0 or loose > 0)"""
 )
 
 
+def _quotes(spark: SparkSession, folder: str, pages: DataFrame) -> DataFrame:
+    return adapters.quotes(pages, adapters.claims(spark, folder), table(spark, folder, "passage"))
+
+
 @query(f"with {_QUOTE} select quote_id, page_no, case when spot > 0 then 'exact' else 'whitespace' end as match_kind, case when spot > 0 then (spot - 1)::int end as exact_start from an where k = 1")
 def anchors(spark: SparkSession, folder: str) -> DataFrame:
     pages = adapters.pages(spark, folder)
-    found = anchor.locate_exact(adapters.quotes(pages), pages)
+    found = anchor.locate_exact(_quotes(spark, folder, pages), pages)
     return found.select("quote_id", "page_no", "match_kind", F.when(F.col("match_kind") == "exact", F.col("char_start")).alias("exact_start"))
 
 
 @query(f"with {_QUOTE} select match_kind, count(*) as n from (select case when spot > 0 then 'exact' else 'whitespace' end as match_kind from an where k = 1) group by 1")
 def anchor_kinds(spark: SparkSession, folder: str) -> DataFrame:
     pages = adapters.pages(spark, folder)
-    return anchor.locate_exact(adapters.quotes(pages), pages).groupBy("match_kind").agg(F.count("*").alias("n"))
+    return anchor.locate_exact(_quotes(spark, folder, pages), pages).groupBy("match_kind").agg(F.count("*").alias("n"))
 
 
 @query()
 def anchors_near(spark: SparkSession, folder: str) -> DataFrame:
     """Quotes with a word left out are found again by similarity."""
     pages = adapters.pages(spark, folder)
-    torn = adapters.quotes(pages).withColumn("quote", F.regexp_replace("quote", r"^(\S+\s+\S+\s+)\S+\s+", "$1"))
-    return anchor.locate(torn, pages).select("quote_id", "page_no", "match_kind")
+    return anchor.locate(adapters.torn_quotes(pages), pages).select("quote_id", "page_no", "match_kind")
 
 
 def _placed(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame, DataFrame]:
@@ -169,7 +184,8 @@ def _placed(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame, Dat
     spans = segment.block_offsets(ordered)
     text = segment.page_texts(ordered)
     laid = pages.drop("text").join(text, ["witness_id", "page_no"])
-    found = anchor.locate_exact(adapters.quotes(laid), laid).join(laid.select(F.col("page_id").alias("quote_id"), "witness_id"), "quote_id")
+    asked = _quotes(spark, folder, laid)
+    found = anchor.locate_exact(asked, laid).join(asked.select("quote_id", "witness_id"), "quote_id")
     return found, spans, laid
 
 
@@ -189,18 +205,26 @@ def values_present(spark: SparkSession, folder: str) -> DataFrame:
 
 def _gated(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame]:
     pages = adapters.pages(spark, folder)
-    proposed = adapters.quotes(pages)
+    proposed = _quotes(spark, folder, pages)
     return anchor.gate(proposed, anchor.locate_exact(proposed, pages))
 
 
-@query()
+_GATE = (
+    _QUOTE
+    + r""", vq as (select quote_id, claim_type, replace(lower(coalesce(quote, '')), ',', '') as q, lower(regexp_replace(replace(regexp_replace(trim(coalesce(value_raw, '')), '^[()%]+|[()%]+$', '', 'g'), ',', ''), '^-+', '')) as v from qt),
+    gt as (select vq.quote_id, case when an.quote_id is null then 'unanchored' when claim_type = 'quantity' and not (v = '' or contains(q, v) or coalesce(len(list_filter(regexp_extract_all(q, '-?\d[\d.]*'), lambda t: abs(try_cast(regexp_replace(t, '[.]+$', '') as double) - try_cast(v as double)) < 1e-9)) > 0, false)) then 'value_not_in_quote' end as reason
+      from vq left join an on an.quote_id = vq.quote_id and k = 1)"""
+)
+
+
+@query(f"with {_GATE}, n as (select coalesce(reason, 'admitted') as outcome, count(*) as n from gt group by 1) select outcome, n, round(n / (select sum(n) from n), 4) as share from n")
 def gate_stats(spark: SparkSession, folder: str) -> DataFrame:
     return anchor.gate_stats(*_gated(spark, folder))
 
 
-@query()
+@query(f"with {_GATE} select quote_id, reason from gt where reason is not null")
 def gate_rejections(spark: SparkSession, folder: str) -> DataFrame:
-    return _gated(spark, folder)[1]
+    return _gated(spark, folder)[1].select("quote_id", "reason")
 
 
 @query("select sha256(text) as sha256, min(doc_id) as doc_id from documents where text is not null group by 1")

@@ -71,11 +71,12 @@ def test_passages(spark):
 
 
 def test_anchoring(spark):
-    pages = spark.createDataFrame([(1, 0, "Total income rose to 8,142 crore."), (1, 0, "Total income rose to 8,142 crore."), (1, 1, "Nothing at all on this page, sadly."), (1, 2, "x  Total\nincome  rose to 8,142 crore.  y"), (1, 3, None)], "witness_id long, page_no int, text string")
-    rows = [(1, "Total income rose to", 0), (2, "income rose to 8,142", 2), (3, "Nothing at all on that page", 1), (4, "short", 0), (5, "this is quite absent", 0), (6, None, 0), (7, "x Total income rose to", 0), (8, r"a\Eb\Qc.* no such thing", 0)]
+    pages = spark.createDataFrame([(1, 0, "Total income rose to 8,142 crore."), (1, 0, "Total income rose to 8,142 crore."), (1, 1, "Nothing at all on this page, sadly."), (1, 2, "x  Total\nincome  rose to 8,142 crore.  y"), (1, 3, "so " + "very\nlong  " * 30_000)], "witness_id long, page_no int, text string")
+    pages = pages.unionByName(spark.createDataFrame([(1, 4, None)], pages.schema))
+    rows = [(1, "Total income rose to", 0), (2, "income rose to 8,142", 2), (3, "Nothing at all on that page", 1), (4, "short", 0), (5, "this is quite absent", 0), (6, None, 0), (7, "x Total income rose to", 0), (8, r"a\Eb\Qc.* no such thing", 0), (9, "very long " * 20_000, 0)]
     quotes = spark.createDataFrame([(i, 1, 0, 3, h, q, "c") for i, q, h in rows], "quote_id long, witness_id long, page_from int, page_to int, hint_page int, quote string, text string").drop("text")
     found = {r["quote_id"]: r for r in anchor.locate(quotes, pages).collect()}
-    assert {i: (r["page_no"], r["match_kind"]) for i, r in found.items()} == {1: (0, "exact"), 2: (0, "exact"), 3: (1, "fuzzy"), 7: (2, "whitespace")}
+    assert {i: (r["page_no"], r["match_kind"]) for i, r in found.items()} == {1: (0, "exact"), 2: (0, "exact"), 3: (1, "fuzzy"), 7: (2, "whitespace"), 9: (3, "whitespace")}
     assert "Total income rose to 8,142 crore."[found[2]["char_start"] : found[2]["char_end"]] == "income rose to 8,142"
     assert "x  Total\nincome  rose to 8,142 crore.  y"[found[7]["char_start"] : found[7]["char_end"]] == "x  Total\nincome  rose to"
     assert anchor.locate(quotes.limit(0), pages).count() == 0
