@@ -151,12 +151,12 @@ def word_roots(read: DataFrame) -> DataFrame:
     tag_support = held.where("sort = 'whole'").groupBy("tag").agg(F.count("*").alias("uses"))
     tagged = keep(held.select("word", "tag", "plain").distinct().join(tag_support, "tag", "left").select("word", "tag", "plain", F.coalesce("uses", F.lit(1)).alias("uses")), "tagged")
     company = tagged.groupBy("word").agg(F.count_if(~F.col("plain")).alias("tags"), F.max("uses").alias("uses"))
-    facts = words.join(company, "word")
+    facts = keep(words.join(company, "word"), "facts")
     side = lambda s: facts.select(F.col("word").alias(s), *[F.col(c).alias(f"{c}_{s}") for c in ("support", "plain", "tags", "uses")])
     both = near.join(side("a"), "a").join(side("b"), "b").where("support_a + support_b > 0")
     first_leads = (F.col("support_a") > F.col("support_b")) | ((F.col("support_a") == F.col("support_b")) & (F.col("a") < F.col("b")))
     pick = lambda c: F.when(first_leads, F.col(f"{c}_a")).otherwise(F.col(f"{c}_b"))
-    led = both.select("*", F.when(first_leads, F.col("b")).otherwise(F.col("a")).alias("word"), F.when(first_leads, F.col("a")).otherwise(F.col("b")).alias("root"), F.when(first_leads, F.col("tags_b")).otherwise(F.col("tags_a")).alias("tags"), pick("support").alias("lead_support"))
+    led = keep(both.select("*", F.when(first_leads, F.col("b")).otherwise(F.col("a")).alias("word"), F.when(first_leads, F.col("a")).otherwise(F.col("b")).alias("root"), F.when(first_leads, F.col("tags_b")).otherwise(F.col("tags_a")).alias("tags"), pick("support").alias("lead_support")), "led")
     own = tagged.where("not plain").select("word", "tag")
     shared = led.select("word", "root").join(own, "word").join(own.select(F.col("word").alias("root"), "tag"), ["root", "tag"]).groupBy("word", "root").agg(F.count("*").alias("shared"))
     pairs = led.join(shared, ["word", "root"], "left").crossJoin(F.broadcast(whole))
@@ -199,7 +199,7 @@ def _without_slips(read: DataFrame, roots: DataFrame) -> DataFrame:
     by_company = slipped.select("name", "at", "slip", F.explode("beside").alias("word")).join(rooted, "word").join(seen, ["slip", "root"]).select("name", "at").distinct().withColumn("seen", F.lit(True))
     judged = slipped.join(common, "slip", "left").join(rooted.select("word", "support"), "word").join(by_company, ["name", "at"], "left")
     often = ~F.col("slip").startswith("given:") & ~F.col("joined") & (F.coalesce("many", F.lit(0)) >= COMMONER * F.col("support"))
-    sure = judged.where(F.coalesce("seen", F.lit(False)) | often).groupBy("name").agg(F.collect_list("at").alias("ats"))  # a few of one name
+    sure = keep(judged.where(F.coalesce("seen", F.lit(False)) | often).groupBy("name").agg(F.collect_list("at").alias("ats")), "sure")  # a few of one name
     fixed = read.join(sure, "name", "left").withColumn("ats", F.coalesce("ats", F.array().cast("array<int>")))
     got = lambda *kinds: F.transform(F.filter(F.transform("ats", lambda i: F.col("slips")[i]), lambda s: F.split(s, ":")[0].isin(*kinds)), lambda s: F.substring_index(s, ":", -1))
     trade = F.array_sort(F.array_union("trade", got("trade", "join")))
@@ -225,7 +225,7 @@ def _cores(fixed: DataFrame, roots: DataFrame) -> DataFrame:
     joined = fixed.join(mended, "name", "left")
     at, n = F.col("m.s.at"), F.col("m.s.n")
     words = F.when(F.col("m").isNull(), F.col("words")).otherwise(F.filter(F.transform("words", lambda w, i: F.when(i == at - 1, F.col("m.root")).when((i < at - 1) | (i >= at - 1 + n), w)), lambda w: w.isNotNull()))
-    each = joined.withColumn("words", words).drop("m")
+    each = keep(joined.withColumn("words", words).drop("m"), "mended")
     core = each.select("name", F.explode("words").alias("word")).join(roots.select("word", "root"), "word").groupBy("name").agg(F.array_sort(F.collect_set("root")).alias("core"))
     return each.drop("words").join(core, "name")
 
@@ -285,20 +285,21 @@ def _persons(classes: DataFrame, firms: DataFrame) -> DataFrame:
     # Initials of a name without a given one begin with its own, unless the core holds it.
     bare = (F.size("given") == 0) & (F.col("size") == 1)
     g = F.when(F.size("given") == 0, "").when(F.size("given") == 1, F.col("given")[0]).otherwise(F.coalesce("only", F.array_join("given", " ")))
-    read = named.select("core", "given", "initials", "size", bare.alias("bare"), g.alias("g"), F.when(bare, F.substring("initials", 2, 1)).otherwise(F.substring("initials", 1, 1)).alias("m"))
+    read = keep(named.select("core", "given", "initials", "size", bare.alias("bare"), g.alias("g"), F.when(bare, F.substring("initials", 2, 1)).otherwise(F.substring("initials", 1, 1)).alias("m")), "people")
     stated = read.where("not bare")
     mids = lambda rows, *key: rows.groupBy(*key).agg(F.count_distinct(F.nullif("m", F.lit(""))).alias("mids"), F.max("m").alias("mid"))
     middle = lambda: F.when(F.col("mids") < 2, F.lit("")).when(F.col("m") == "", "?").otherwise(F.col("m"))
     by = stated.join(mids(stated, "core", "g"), ["core", "g"])
     # Two rare words are a given name and a surname, or a firm: without a firm's or a given name's mark they are one group.
     plain = firms.where("kind = '' and trade = ''").select("core", F.col("entity").alias("as_firm"))
-    known = by.join(plain, "core", "left").select("core", "given", "initials", "g", "m", "mid", F.when((F.col("g") == "") & (F.col("mids") < 2), F.coalesce("as_firm", F.concat("core", F.lit(" f:")))).otherwise(F.concat_ws(" ", "core", F.concat(F.lit("p:"), "g"), middle())).alias("entity"))
+    known = keep(by.join(plain, "core", "left").select("core", "given", "initials", "g", "m", "mid", F.when((F.col("g") == "") & (F.col("mids") < 2), F.coalesce("as_firm", F.concat("core", F.lit(" f:")))).otherwise(F.concat_ws(" ", "core", F.concat(F.lit("p:"), "g"), middle())).alias("entity")), "known")
     ways = known.where("g != ''").select("core", F.left("g", F.lit(1)).alias("f"), F.coalesce(F.nullif("m", F.lit("")), "mid").alias("m"), "entity")
     pairs = classes.where("size = 2 and trade = '' and size(given) = 0 and not legal").select(F.split("core", " ").alias("two"), "core").distinct().join(known.where("g = ''").select("core", F.col("mid").alias("m"), "entity").distinct().unionByName(plain.select("core", F.lit("").alias("m"), F.col("as_firm").alias("entity"))), "core")
-    turned = pairs.select(F.col("two")[0].alias("core"), F.left(F.col("two")[1], F.lit(1)).alias("f"), "m", "entity").unionByName(pairs.select(F.col("two")[1].alias("core"), F.left(F.col("two")[0], F.lit(1)).alias("f"), "m", "entity"))
+    turn = lambda i, j: F.struct(F.col("two")[i].alias("core"), F.left(F.col("two")[j], F.lit(1)).alias("f"), "m", "entity")
+    turned = pairs.select(F.explode(F.array(turn(0, 1), turn(1, 0))).alias("t")).select("t.*")
     short = read.where("bare").withColumn("f", F.left("initials", F.lit(1)))
     fits = short.join(ways.unionByName(turned).withColumnRenamed("m", "theirs").distinct(), ["core", "f"]).where("m = '' or theirs = '' or m = theirs").groupBy("core", "initials").agg(F.max("entity").alias("only"), F.count_distinct("entity").alias("n"))
-    lone = short.join(mids(short, "core", "f"), ["core", "f"]).join(fits.where("n = 1").select("core", "initials", "only"), ["core", "initials"], "left")
+    lone = short.join(mids(short, "core", "f"), ["core", "f"]).join(keep(fits.where("n = 1").select("core", "initials", "only"), "fits"), ["core", "initials"], "left")
     alone = lone.select("core", "given", "initials", F.coalesce("only", F.concat_ws(" ", "core", F.concat(F.lit("p:"), "f", F.lit("?")), middle())).alias("entity"))
     return known.select("core", "given", "initials", "entity").unionByName(alone)
 
@@ -308,10 +309,15 @@ def _kind(trade: Column, given: Column, initials: Column, legal: Column) -> Colu
 
 
 def name_entities(names: DataFrame, column: str) -> DataFrame:
-    """``(name, entity)`` for each distinct value that names anyone; names of one entity get one string."""
+    """``(name, entity)`` for each distinct value that names anyone; names of one entity get one string.
+
+    What several later steps read is kept, so that no plan holds more than a
+    few joins: the driver's memory grows with the plans, not with the names.
+    """
     read = keep(read_names(names, column), "names")
     roots = keep(word_roots(read), "roots")
-    cored = keep(_cores(_without_slips(read, roots), roots), "cores")
+    fixed = keep(_without_slips(read, roots), "fixed")
+    cored = keep(_cores(fixed, roots), "cores")
     parts = cored.select("name", F.array_join("core", " ").alias("core"), F.size("core").alias("size"), F.array_join("trade", " ").alias("trade"), "given", "initials", "legal", _kind(F.col("trade"), F.col("given"), F.col("initials"), F.col("legal")).alias("kind"))
     classes = keep(parts.drop("name").distinct(), "classes")
     # A name without a mark of either is looked up among firms; so is a person's core, for those that say no more than it.

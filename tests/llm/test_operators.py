@@ -152,6 +152,18 @@ def test_variants(spark):
     assert variants.variant_pairs(spark.createDataFrame([], "entity_raw string"), "entity_raw").count() == 0
 
 
+def test_no_plan_of_variants_holds_many_joins(spark, monkeypatch):
+    held, kept = [], variants.keep
+
+    def counted(df, name="table"):
+        held.append((df._jdf.queryExecution().optimizedPlan().toString().count("Join "), name))
+        return kept(df, name)
+
+    monkeypatch.setattr(variants, "keep", counted)
+    variants.variant_pairs(spark.createDataFrame([("Jon Tamsin Traders",), ("Tamsin Jon Traders",)], "n string"), "n")
+    assert len(held) > 10 and max(held)[0] <= 8, max(held)
+
+
 def test_near_stems_misses_no_two_edits(spark):
     from claimloom.functions.text import edit_distance
 
