@@ -245,6 +245,26 @@ def test_graph_recall(clusters):
     assert np.allclose(cosine[:, 0], 1, atol=1e-5) and (graph >= -1).all() and graph.shape[1] <= 32
 
 
+@pytest.mark.parametrize("held, k", [(3, 11), (40, 3), (1500, 11), (4133, 11)])
+def test_shards_are_searched_whole(held, k):
+    chance = np.random.default_rng(held)
+    v = chance.normal(size=(held, 16)).astype(np.float32)
+    v /= np.linalg.norm(v, axis=1, keepdims=True)
+    places, cosines = neighbours.best_of(v[:700], v, k)
+    truth = np.sort(v[:700] @ v.T, axis=1)[:, ::-1][:, :k]
+    assert np.allclose(cosines, truth, atol=1e-6) and (np.diff(cosines, axis=1) <= 0).all()
+    assert np.allclose(np.take_along_axis(v[:700] @ v.T, places, 1), truth, atol=1e-6)
+
+
+def test_one_shard_misses_nothing(spark):
+    v = np.random.default_rng(11).normal(size=(3000, 64))
+    got = neighbours.similar_vectors(spark.createDataFrame([(i, [float(x) for x in row]) for i, row in enumerate(v)], "id long, v array<float>"), "id", "v", k=10).toPandas()
+    u = v / np.linalg.norm(v, axis=1, keepdims=True)
+    s = u @ u.T
+    np.fill_diagonal(s, -2)
+    assert {(i, j) for i, row in enumerate(np.argsort(-s, axis=1)[:, :10]) for j in row} == set(zip(got["id"], got["other"]))
+
+
 @pytest.mark.parametrize("most_centres", [4096, 5])
 def test_sharded_recall(spark, monkeypatch, most_centres):
     """Many centres and split graphs, as on large tables; centres of one level and of two."""
