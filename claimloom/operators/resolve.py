@@ -23,6 +23,8 @@ from claimloom.session import keep
 
 # Least similarity at which measures merge, are neighbours, and entities merge.
 MERGE, NEIGHBOUR, ENTITY = 0.80, 0.68, 0.90
+#: Bits of ``letters`` in order: one for a letter, another for its repetition.
+LETTER_BITS = "aggregate(transform(letters, (x, i) -> shiftleft(1L, pmod(ascii(x), 32) + if(i > 0 and letters[greatest(i - 1, 0)] = x, 32, 0))), 0L, (m, b) -> m | b)"
 
 
 def leaders(items: DataFrame, matches: DataFrame) -> DataFrame:
@@ -80,32 +82,49 @@ def resolve_measures(phrases: DataFrame, phrase: str, order: list[str], merge: f
     return found.join(names, "leader").select(F.col("id").alias("phrase"), "measure")
 
 
-def near_strings(items: DataFrame, floor: float, q: int = 3) -> DataFrame:
-    """Pairs ``(a, b, score)``, a < b, of items ``id, text`` whose Indel similarity is at least ``floor`` (below 1).
+def near_candidates(texts: DataFrame, floor: float, q: int = 3) -> DataFrame:
+    """Pairs ``(ta, tb)``, ta < tb, of distinct ``text``: all whose Indel similarity is at least ``floor`` (below 1), and few others.
 
-    Two texts that similar are at most ``(1 - floor) * (sum of lengths)``
-    insertions and deletions apart, each of which spoils at most ``q`` grams,
-    so they share one of the rarest grams of either.
+    Of two texts that similar, ``x`` letters of one are left out and ``y`` of
+    the other put in, with ``(2 - floor) * x + floor * y <= 2 * (1 - floor) *
+    length``.  A letter left out spoils at most ``q`` grams and one put in at
+    most ``q - 1``, so they share one of the rarest grams of either, one more
+    than may be spoilt.  What shares a gram must have nearly the same letters
+    and be few edits apart, which the join itself checks: only what is left
+    is gathered and compared.
     """
-    texts = items.where(F.length("text") > 0).groupBy("text").agg(F.min("id").alias("first"))
+    letters = F.array_sort(F.filter(F.split("text", ""), lambda c: c != ""))
+    known = texts.select("text", F.length("text").alias("size"), letters.alias("letters")).withColumn("bits", F.expr(LETTER_BITS))
     padded = F.concat(F.lit("\u0002" * (q - 1)), "text", F.lit("\u0003" * (q - 1)))
     at = F.explode(F.sequence(F.lit(1), F.length("text") + (q - 1)))
-    grams = texts.select("text", padded.alias("p"), at.alias("at")).select("text", F.substring(F.col("p"), F.col("at"), F.lit(q)).alias("g"), "at")
+    grams = known.select("text", "size", "bits", padded.alias("p"), at.alias("at")).select("text", "size", "bits", F.substring(F.col("p"), F.col("at"), F.lit(q)).alias("g"), "at")
     # Equal grams of one text are told apart by their count, so the sets keep all of them.
     grams = grams.withColumn("gram", F.concat_ws("\u0001", "g", F.row_number().over(W.partitionBy("text", "g").orderBy("at")).cast("string")))
     common = grams.groupBy("gram").agg(F.count("*").alias("many"))
-    edits = F.floor(F.length("text") * 2 * (1 - floor) / floor) + 1
-    prefix = grams.join(common, "gram").withColumn("nth", F.row_number().over(W.partitionBy("text").orderBy("many", "gram"))).where((F.col("nth") <= q * edits + 1) & (F.col("many") > 1)).select("text", "gram")
-    a, b = prefix.select(F.col("text").alias("ta"), "gram"), prefix.select(F.col("text").alias("tb"), "gram")
-    shorter, longer = F.least(F.length("ta"), F.length("tb")), F.greatest(F.length("ta"), F.length("tb"))
-    met = a.join(b, "gram").where((F.col("ta") < F.col("tb")) & (2 * shorter >= floor * (shorter + longer))).select("ta", "tb").distinct()
+    spoilt = F.floor(F.col("size") * (2 * (1 - floor) * max(q / (2 - floor), (q - 1) / floor)) + 1e-9)
+    prefix = grams.join(common, "gram").withColumn("nth", F.row_number().over(W.partitionBy("text").orderBy("many", "gram"))).where((F.col("nth") <= spoilt + 1) & (F.col("many") > 1)).select("text", "size", "bits", "gram")
+    a, b = (prefix.select("gram", *[F.col(c).alias(f"{c}_{side}") for c in ("text", "size", "bits")]) for side in "ab")
+    apart = ((F.col("size_a") + F.col("size_b")) * (1 - floor) + 1e-9).cast("int")
+    met = a.join(b, "gram").where(
+        # A letter more or less changes one bit, and is one edit to levenshtein.
+        (F.bit_count(F.col("bits_a").bitwiseXOR(F.col("bits_b"))) <= apart)
+        & (F.abs(F.col("size_a") - F.col("size_b")) <= apart)
+        & (F.col("text_a") < F.col("text_b"))
+        & (F.call_function("levenshtein", F.col("text_a"), F.col("text_b"), apart) >= 0)
+    )
+    return met.select(F.col("text_a").alias("ta"), F.col("text_b").alias("tb")).distinct()
+
+
+def near_strings(items: DataFrame, floor: float, q: int = 3) -> DataFrame:
+    """Pairs ``(a, b, score)``, a < b, of items ``id, text`` whose Indel similarity is at least ``floor`` (below 1)."""
+    texts = items.where(F.length("text") > 0).groupBy("text").agg(F.min("id").alias("first"))
 
     def verify(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             batch["score"] = [indel_similarity(x, y) / 100 for x, y in zip(batch["ta"], batch["tb"])]
             yield batch[batch["score"] >= floor]
 
-    scored = met.mapInPandas(verify, "ta string, tb string, score double")
+    scored = near_candidates(texts.select("text"), floor, q).mapInPandas(verify, "ta string, tb string, score double")
     names = texts.select("text", "first")
     distinct = scored.join(names.select(F.col("text").alias("ta"), F.col("first").alias("fa")), "ta").join(names.select(F.col("text").alias("tb"), F.col("first").alias("fb")), "tb")
     return distinct.select(F.least("fa", "fb").alias("a"), F.greatest("fa", "fb").alias("b"), "score")

@@ -166,6 +166,23 @@ def test_resolution(spark):
     assert found["revenues from customers"] == found["revenue from customer"] == "Revenue from customers" and found["net cash from financing activities"] != found["net cash from operating activities"]
 
 
+def test_near_candidates_are_few_and_miss_none(spark):
+    rng = random.Random(7)
+    part = lambda n: "".join(rng.choice("bdgklmnprst") + rng.choice("aeiou") for _ in range(n))
+    texts = {f"{part(5)} {rng.choice(['chemicals', 'industries', 'textiles'])}" for _ in range(150)} | {"anana banana an", "banana banana an", "banana anana an"}
+    for text in sorted(texts)[:60]:
+        for edits in (1, 2, 3):
+            letters = [*text]
+            for _ in range(edits):
+                at = rng.randrange(len(letters))
+                letters[at : at + rng.choice((0, 1))] = rng.choice(("", rng.choice("aeiourst")))
+            texts.add("".join(letters))
+    texts = sorted(texts - {""})
+    wanted = {(x, y) for x in texts for y in texts if x < y and resolve.indel_similarity(x, y) >= 90}
+    got = [(r["ta"], r["tb"]) for r in resolve.near_candidates(spark.createDataFrame([(x,) for x in texts], "text string"), 0.9).collect()]
+    assert len(wanted) > 100 and wanted <= set(got) and len(got) == len(set(got)) <= 2 * len(wanted), (len(wanted), len(got))
+
+
 def test_near_strings_finds_all(spark):
     chance = random.Random(5)
     words = ["".join(chance.choice("abcdef") for _ in range(chance.randrange(8, 20))) for _ in range(60)]
