@@ -16,9 +16,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from claimloom import session
 from claimloom.functions.text import edit_distance
 from claimloom.llm.names import OFFICES, read_name
-from claimloom.session import keep
 
 #: Length of the q-grams of a word, and least weighted similarity of two variants.
 Q, LEAST = 4, 0.70
@@ -28,6 +28,11 @@ SWAPPED = (1, 2, 7, 10, 11, 12)
 COMMONER, SHARED = 10, 0.5
 
 
+def keep(df: DataFrame, name: str = "table") -> DataFrame:
+    """``session.keep``, but joins never broadcast what it gives: these tables grow with the names, and their files, by which Spark would judge, hold a small part of the bytes that the driver would gather."""
+    return session.keep(df, name).hint("merge")
+
+
 def allowed_edits(size: int) -> int:
     """Edits that two spellings of the longer one's ``size`` letters may be apart."""
     return 1 if size < 7 else 2 if size < 11 else 3
@@ -107,7 +112,7 @@ def near_stems(stems: DataFrame) -> DataFrame:
     bags = F.array_distinct(F.concat(F.array("letters"), F.transform(F.sequence(F.lit(1), F.col("size")), without)))
     # Kept apart from the grams by a mark; the place plays no part.
     bagged = short.select("stem", "size", "bits", F.lit(0).alias("at"), F.explode(F.transform(bags, lambda x: F.concat(F.lit("\u0001"), F.array_join(x, "")))).alias("gram"))
-    keys = prefix.unionByName(bagged)
+    keys = prefix.unionByName(bagged).hint("merge")
     a, b = (keys.select("gram", *[F.col(c).alias(f"{c}_{side}") for c in ("stem", "size", "bits", "at")]) for side in "ab")
     larger = F.greatest("size_a", "size_b")
     by_size = lambda f: F.when(larger < 7, f(1)).when(larger < 11, f(2)).otherwise(f(3))  # noqa: E731  as allowed_edits
@@ -195,8 +200,8 @@ def _without_slips(read: DataFrame, roots: DataFrame) -> DataFrame:
     known = plain.select("words", "slips", F.explode(says).alias("slip"))
     common = known.groupBy("slip").agg(F.count("*").alias("many"))
     rooted = roots.select("word", "root", "support")
-    seen = known.select("slip", F.explode(others).alias("word")).join(rooted, "word").select("slip", "root").distinct()
-    by_company = slipped.select("name", "at", "slip", F.explode("beside").alias("word")).join(rooted, "word").join(seen, ["slip", "root"]).select("name", "at").distinct().withColumn("seen", F.lit(True))
+    seen = known.select("slip", F.explode(others).alias("word")).join(rooted, "word").select("slip", "root").distinct().hint("merge")
+    by_company = slipped.select("name", "at", "slip", F.explode("beside").alias("word")).join(rooted, "word").join(seen, ["slip", "root"]).select("name", "at").distinct().withColumn("seen", F.lit(True)).hint("merge")
     judged = slipped.join(common, "slip", "left").join(rooted.select("word", "support"), "word").join(by_company, ["name", "at"], "left")
     often = ~F.col("slip").startswith("given:") & ~F.col("joined") & (F.coalesce("many", F.lit(0)) >= COMMONER * F.col("support"))
     sure = keep(judged.where(F.coalesce("seen", F.lit(False)) | often).groupBy("name").agg(F.collect_list("at").alias("ats")), "sure")  # a few of one name

@@ -164,6 +164,20 @@ def test_no_plan_of_variants_holds_many_joins(spark, monkeypatch):
     assert len(held) > 10 and max(held)[0] <= 8, max(held)
 
 
+def test_variants_broadcast_no_table_that_grows(spark, monkeypatch):
+    plans, kept = [], variants.keep
+
+    def seen(df, name="table"):
+        plans.append((name, df._jdf.queryExecution().executedPlan().toString()))
+        return kept(df, name)
+
+    monkeypatch.setattr(variants, "keep", seen)
+    pairs = variants.variant_pairs(spark.createDataFrame([("Jon Tamsin Traders",), ("Tamsin Jon Traders",)], "n string"), "n")
+    plans.append(("pairs", pairs._jdf.queryExecution().executedPlan().toString()))
+    assert pairs.count() == 1
+    assert any("SortMergeJoin" in p for _, p in plans) and not [n for n, p in plans if "BroadcastHashJoin" in p]
+
+
 def test_near_stems_misses_no_two_edits(spark):
     from claimloom.functions.text import edit_distance
 
